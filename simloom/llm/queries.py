@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, secrets, token_files
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_token_files": token_files.op8_token_files,
 }
 
 ORACLE_SQL = {
