@@ -55,7 +55,6 @@ def exact_dedup(
         .groupBy("_b")
         .agg(F.bitmap_construct_agg("_at").alias("_bits"))
     )
-    at = F.col("_at").cast("int")
     byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
     marked = F.coalesce(F.expr("shiftright(_y, _at % 8) & 1") == 1, F.lit(False))
     found = (
@@ -65,7 +64,6 @@ def exact_dedup(
         .withColumn("_y", byte)
         .withColumn("_again", marked)
     )
-    del at
     sha = F.unhex(F.sha2(F.col("_t").cast("binary"), 256))
     hashed = settle(
         found.select("_id", "_len", "_pre", "_again", (sha if all_fingerprints else F.when(F.col("_again"), sha)).alias("_sha")),
