@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, secrets, token_files
+from . import decontaminate, exact_dedup, near_dedup, secrets, token_files
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_files": token_files.op8_token_files,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLE_SQL = {
