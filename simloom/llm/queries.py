@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, secrets, token_files
+from . import decontaminate, exact_dedup, language_id, near_dedup, secrets, token_files, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op4_language_id": language_id.op4_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_files": token_files.op8_token_files,
     "op10_near_dedup": near_dedup.op10_near_dedup,
