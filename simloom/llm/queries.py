@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, secrets, token_files, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, secrets, token_files, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_language_id": language_id.op4_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_url_filter": url_filter.op6_url_filter,
