@@ -1,19 +1,71 @@
-"""The corpus pipeline: STAGES applied to documents one after another."""
+"""The corpus pipeline: STAGES applied to documents one after another.
+
+Each stage takes (spark, docs, sf_dir) and returns documents that stay, with the columns of documents; the last one
+returns their token ids. Every stage's rows are written as Parquet and read again as the next one's input.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from simloom.llm.byte_bpe import decode_ids, default_vocabulary, encode_documents, load_ranks, piece_list
+from simloom.llm.common import settle, table, without_ids
+from simloom.llm.decontaminate import decontaminate
+from simloom.llm.exact_dedup import exact_dedup
+from simloom.llm.language_id import UNDETERMINED, fit_language_model, held_out, identify
+from simloom.llm.near_dedup import near_duplicates
+
+
+def _without(docs: DataFrame, found: DataFrame, goes: Column) -> DataFrame:
+    """docs without the ids for which `goes` holds. Those are few beside the documents, which aren't shuffled."""
+    gone = settle(found.filter(goes).select(F.col("doc_id").alias("id")).distinct(), "pipeline-gone")
+    return without_ids(docs, "doc_id", gone)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter go. The label that is given isn't looked at."""
+    model = fit_language_model(docs.filter(~held_out()))
+    return _without(docs, identify(docs, model), F.col("lang_pred") == UNDETERMINED)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _without(docs, exact_dedup(docs), ~F.col("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return _without(docs, near_duplicates(docs), ~F.col("kept"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of the benchmark."""
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), F.size("spans") > 0)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, their number, and a check that they decode to its text."""
+    path, pattern = default_vocabulary()
+    found = encode_documents(docs, path, pattern)
+    decoded = F.sha2(decode_ids(F.col("ids"), piece_list(load_ranks(path))), 256)
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"))
 
-from simloom.llm.common import settle, table
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontaminate", decontaminated),
+    ("byte_bpe", byte_bpe),
+]
 
-#: Language scores and near-duplicate search can't be put in SQL.
+#: Language scores, near-duplicate search and merges can't be put in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

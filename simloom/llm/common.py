@@ -70,8 +70,40 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Dat
     return docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("body"), *more)
 
 
-def batch_of(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+#: Bits of one of Spark's bitmaps, and bitmaps that are broadcast at once: 512 of 4 KB.
+BITMAP_BITS = 32768
+BITMAPS = 512
+
+
+def _bitmap(ids: DataFrame) -> DataFrame:
+    """Ids (a column id) as a bitmap of a fixed size: (_b, _bits). False hits are possible, misses aren't."""
+    at = F.pmod(F.xxhash64("id"), F.lit(BITMAPS * BITMAP_BITS))
+    spots = ids.select(F.floor(at / BITMAP_BITS).cast("int").alias("_b"), (at % BITMAP_BITS).cast("bigint").alias("_at"))
+    return spots.groupBy("_b").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+
+
+def _marked(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """rows with _hit: whether the id may be among ids. Only the bitmap is broadcast, 2 MB at most."""
+    at = F.pmod(F.xxhash64(F.col(id_col)), F.lit(BITMAPS * BITMAP_BITS))
+    bit = F.expr("shiftright(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10), _at % 8) & 1").cast("int") == 1
+    spots = rows.withColumn("_b", F.floor(at / BITMAP_BITS).cast("int")).withColumn("_at", (at % BITMAP_BITS).cast("int"))
+    return spots.join(F.broadcast(_bitmap(ids)), "_b", "left").withColumn("_hit", F.coalesce(bit, F.lit(False))).select(*rows.columns, "_hit")
+
+
+def only_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ids (a column id); the texts of others stay out of the shuffle."""
+    near = _marked(rows, id_col, ids).filter("_hit").drop("_hit")
+    return near.join(ids.select(F.col("id").alias(id_col)), id_col, "left_semi").select(*rows.columns)
+
+
+def without_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not among ids (a column id); only rows that the bitmap can't acquit are shuffled.
+
+    Rows with a null id stay.
+    """
+    marked = _marked(rows, id_col, ids)
+    unsure = marked.filter("_hit").drop("_hit").join(ids.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    return marked.filter("not _hit").drop("_hit").union(unsure.select(*rows.columns))
 
 
 def slices(column: pa.Array, most_bytes: int = 8 << 20):

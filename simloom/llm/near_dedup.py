@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, slices, table, text_rows
+from .common import only_ids, settle, slices, table, text_rows
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Entries of a worker's cache from words to hashes.
@@ -117,21 +117,6 @@ def components(links: DataFrame, spark: SparkSession, name: str) -> DataFrame:
         edges = fresh
 
 
-def _bitmap(ids: DataFrame, buckets: int) -> DataFrame:
-    """Ids as a bitmap of a fixed size: (_b, _bits), a row of 4 KB a bucket; false hits are possible, misses aren't."""
-    at = F.pmod(F.xxhash64("id"), F.lit(buckets * 32768))
-    return ids.select(F.floor(at / 32768).cast("int").alias("_b"), (at % 32768).cast("bigint").alias("_at")).groupBy("_b").agg(F.bitmap_construct_agg("_at").alias("_bits"))
-
-
-def _only(rows: DataFrame, id_col: str, ids: DataFrame, buckets: int = 512) -> DataFrame:
-    """The rows whose id is in ids. A broadcast bitmap (16 MB at most) leaves the others' texts out of the shuffle."""
-    at = F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets * 32768))
-    bit = F.expr("shiftright(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10), _at % 8) & 1").cast("int") == 1
-    near = rows.withColumn("_b", F.floor(at / 32768).cast("int")).withColumn("_at", (at % 32768).cast("int"))
-    near = near.join(F.broadcast(_bitmap(ids, buckets)), "_b").filter(bit).select(*rows.columns)
-    return near.join(ids.select(F.col("id").alias(id_col)), id_col, "left_semi")
-
-
 def _agreeing(pairs: DataFrame, kind: str, least: float) -> DataFrame:
     """Pairs (a, b, sa, sb) whose signatures agree on at least that share of coordinates."""
 
@@ -222,7 +207,7 @@ def near_duplicates(
         if likely.isEmpty():
             return likely
         needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = _only(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", needed)
+        texts = only_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", needed)
         sets = settle(sketch(texts, coordinates, "id", "text", True, words).dropDuplicates(["id"]).select("id", "more"), f"{name}-sets")
         full = likely.join(sets.select(F.col("id").alias("a"), F.col("more").alias("xa")), "a")
         full = full.join(sets.select(F.col("id").alias("b"), F.col("more").alias("xb")), "b")
