@@ -82,7 +82,7 @@ def _bitmap(ids: DataFrame) -> DataFrame:
     return spots.groupBy("_b").agg(F.bitmap_construct_agg("_at").alias("_bits"))
 
 
-def _marked(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+def marked(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """rows with _hit: whether the id may be among ids. Only the bitmap is broadcast, 2 MB at most."""
     at = F.pmod(F.xxhash64(F.col(id_col)), F.lit(BITMAPS * BITMAP_BITS))
     bit = F.expr("shiftright(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10), _at % 8) & 1").cast("int") == 1
@@ -92,7 +92,7 @@ def _marked(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
 def only_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows whose id is among ids (a column id); the texts of others stay out of the shuffle."""
-    near = _marked(rows, id_col, ids).filter("_hit").drop("_hit")
+    near = marked(rows, id_col, ids).filter("_hit").drop("_hit")
     return near.join(ids.select(F.col("id").alias(id_col)), id_col, "left_semi").select(*rows.columns)
 
 
@@ -101,9 +101,9 @@ def without_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
     Rows with a null id stay.
     """
-    marked = _marked(rows, id_col, ids)
-    unsure = marked.filter("_hit").drop("_hit").join(ids.select(F.col("id").alias(id_col)), id_col, "left_anti")
-    return marked.filter("not _hit").drop("_hit").union(unsure.select(*rows.columns))
+    split = marked(rows, id_col, ids)
+    unsure = split.filter("_hit").drop("_hit").join(ids.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    return split.filter("not _hit").drop("_hit").union(unsure.select(*rows.columns))
 
 
 def slices(column: pa.Array, most_bytes: int = 8 << 20):

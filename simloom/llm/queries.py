@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, secrets, token_files, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, secrets, suffix_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_files": token_files.op8_token_files,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
