@@ -5,7 +5,7 @@ trees branches the classes: a node's seed chooses coordinates of the documents'
 to the child named by its token there. Nodes that are small are compared exhaustively; large ones branch on. All trees
 are one table (node, class), and a level of all trees is one shuffle.
 
-Two things keep nodes with many near copies linear. Every node first compares its members with one pivot only; the
+Two things keep nodes with many near copies linear. Every node first compares its members with two pivots only; the
 links found so far are contracted to components, and a node whose members all belong to one component is closed, as
 nothing in it can change the result. Small nodes then compare members of different components only.
 """
@@ -24,7 +24,7 @@ from .common import only_ids, settle, slices, table, text_rows
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Entries of a worker's cache from words to hashes.
-CACHE = 1_000_000
+CACHE = 100_000
 
 
 class _WordHashes(dict):
@@ -100,7 +100,8 @@ def components(links: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     links never grows; hot ids are pre-aggregated on the map side. Ends when a round changes nothing.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-0")
-    step = 0
+    sums = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))]
+    step, before = 0, edges.agg(*sums).first()
     while True:
         step += 1
         # Large star: every neighbour above u is linked to the smallest neighbour of u (or u).
@@ -110,11 +111,11 @@ def components(links: DataFrame, spark: SparkSession, name: str) -> DataFrame:
         # Small star: all neighbours below u, and u, are linked to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        fresh = settle(small.filter("a <> b").distinct(), f"{name}-{step}")
-        sums = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))]
-        if edges.agg(*sums).first() == fresh.agg(*sums).first():
-            return fresh.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        edges = fresh
+        edges = settle(small.filter("a <> b").distinct(), f"{name}-{step}")
+        after = edges.agg(*sums).first()
+        if after == before:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        before = after
 
 
 def _agreeing(pairs: DataFrame, kind: str, least: float) -> DataFrame:
@@ -131,6 +132,29 @@ def _agreeing(pairs: DataFrame, kind: str, least: float) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(work, f"a {kind}, b {kind}")
 
 
+def _compared(nodes: DataFrame, kind: str, percent: int, least: float) -> DataFrame:
+    """Pairs (a, b) of members of one node, of different components, whose sizes allow a link and whose signatures
+    agree on at least that share of coordinates. A node comes as a list of its members."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.column(0):
+                own = own.values
+                ids, n, root = own.field("cid"), own.field("n").to_numpy(), own.field("root").to_numpy(zero_copy_only=False)
+                sig = np.frombuffer(b"".join(own.field("sig").to_pylist()), np.int32).reshape(len(n), -1)
+                first, second = [], []
+                for i in range(len(n) - 1):
+                    may = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
+                    at = np.flatnonzero(may) + i + 1
+                    at = at[(sig[at] == sig[i]).mean(axis=1) >= least] if len(at) else at
+                    first += [i] * len(at)
+                    second += at.tolist()
+                if first:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), ids.take(pa.array(second))], names=["a", "b"])
+
+    return nodes.mapInArrow(work, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _verified(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
     """Pairs (a, b, xa, xb) with 100 * intersection >= percent * union of their full sets."""
 
@@ -147,14 +171,19 @@ def _verified(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
     return pairs.select("a", "b", "xa", "xb").mapInArrow(work, f"a {kind}, b {kind}")
 
 
+#: Share of signature coordinates on which a pair must agree to be looked at; of 64, a pair at 0.85 falls below it
+#: with a probability of about 5e-6.
+LEAST = 0.64
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
     words: int = 5,
-    trees: int = 12,
+    trees: int = 8,
     coordinates: int = 64,
-    small: int = 24,
-    levels: int = 10,
+    small: int = 256,
+    levels: int = 8,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -162,15 +191,15 @@ def near_duplicates(
 
     Sets are distinct shingles of ``words`` words of the whole text, with A-Z in lower case; shorter texts are one
     shingle, texts without words are empty and linked with nothing. ``trees`` independent trees start with a
-    coordinate each; a pair at the threshold of 0.85 meets in one of 12 with probability 1 - 1e-10, and nodes above
-    ``small`` members branch on, over one or two coordinates of their own. What is still large after ``levels``
-    levels is compared exhaustively, so no cap drops a pair. Signatures rule out pairs that agree on less than 0.6 of
-    64 coordinates (a pair at the threshold fails that with probability below 1e-6); all others are confirmed on
-    full sets. Sets are only made for members of such pairs, and only those texts are shuffled.
+    coordinate each, so a pair at 0.85 meets in one of 8 with probability 1 - 3e-7. A node of up to ``small`` members
+    is compared exhaustively; a larger one branches over two coordinates of its own seed. What is still large after
+    ``levels`` levels is compared in blocks of ``small`` members against each other, so no cap drops a pair.
+    Signatures rule out pairs below ``LEAST``; all others are confirmed on full sets. Sets are only made for members
+    of such pairs, and only those texts are shuffled.
 
     Returns one row per input row: ``id_col``, n_shingles, component_id (smallest id of the component), kept
-    (``id_col`` = component_id). Rows with a null id get their own n_shingles, a null component_id and kept = true:
-    they can't be named, so they aren't linked. Repeated rows give repeated results. Other columns are ignored.
+    (``id_col`` = component_id). Rows with a null id get their n_shingles, a null component_id and kept = true: they
+    can't be named, so they aren't linked. Repeated rows give repeated results. Other columns are ignored.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = settle(sketch(docs, coordinates, id_col, text_col, False, words), "near-sketch")
@@ -181,68 +210,58 @@ def near_duplicates(
         """The 4 bytes of the signature at coordinate i, a column or number."""
         return F.substring("sig", F.lit(1) + F.lit(4) * i, F.lit(4))
 
-    first = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, token(t))))
-    frontier = classes.select(first.alias("node"), "cid", "n")
-
     def shared(members: DataFrame, name: str) -> DataFrame:
         """Members of nodes that hold two at least, with two pivots of the node, chosen by the node's seed."""
         at = F.xxhash64("node", "cid")
         nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min_by("cid", at).alias("p"), F.max_by("cid", at).alias("q"))
         return settle(members.join(nodes.filter("size > 1"), "node"), name)
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        return pairs.filter(f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-
     def pivots(members: DataFrame) -> DataFrame:
-        pairs = members.select("cid", "n", F.explode(F.array("p", "q")).alias("pivot")).filter("cid <> pivot")
-        return pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs (a, b) the linked ones."""
+        """The members' pairs with their pivots whose signatures agree."""
+        pairs = members.select("cid", F.explode(F.array("p", "q")).alias("pivot")).filter("cid <> pivot")
+        pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
         sig = classes.select("cid", "n", "sig")
         both = pairs.join(sig.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
         both = both.join(sig.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-        both = both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        likely = settle(_agreeing(both, kind, 0.6), f"{name}-likely")
+        return _agreeing(both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"), kind, LEAST)
+
+    def confirm(pairs: DataFrame, name: str) -> DataFrame | None:
+        """Of pairs (a, b) the linked ones; None without pairs."""
+        likely = settle(pairs.distinct(), f"{name}-likely")
         if likely.isEmpty():
-            return likely
+            return None
         needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = only_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", needed)
-        sets = settle(sketch(texts, coordinates, "id", "text", True, words).dropDuplicates(["id"]).select("id", "more"), f"{name}-sets")
+        sets = settle(sketch(texts, coordinates, "id", "text", True, words).select("id", "more"), f"{name}-sets").dropDuplicates(["id"])
         full = likely.join(sets.select(F.col("id").alias("a"), F.col("more").alias("xa")), "a")
         full = full.join(sets.select(F.col("id").alias("b"), F.col("more").alias("xb")), "b")
         return settle(_verified(full, kind, percent), f"{name}-links")
 
-    members = shared(frontier, "near-nodes-1")
-    links = confirm(pivots(members), "near-1p")
-    roots = components(links, spark, "near-roots-1")
+    first = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, token(t))))
+    members = shared(classes.select(first.alias("node"), "cid"), "near-nodes-1")
+    links = confirm(pivots(members), "near-pivots")
+    none = spark.createDataFrame([], f"id {kind}, root {kind}")
+    roots = none if links is None else components(links, spark, "near-roots-0")
     for level in range(1, levels + 1):
-        named = members.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        named = settle(named.drop("p", "q"), f"near-named-{level}")
+        named = members.drop("p", "q").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         # A node with one component is closed.
         opened = named.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("node")
-        left = settle(named.join(opened, "node", "left_semi"), f"near-open-{level}")
-        last = level == levels
-        few = left if last else left.filter(F.col("size") <= small)
-        x = few.select("node", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        y = few.select("node", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        pairs = sized(x.join(y, "node").filter("a < b and ra <> rb"))
+        left = settle(named.join(opened, "node", "left_semi").join(classes.select("cid", "n", "sig"), "cid"), f"near-open-{level}")
+        member = F.struct("cid", "n", "root", "sig")
+        pairs = _compared(left.filter(F.col("size") <= small).groupBy("node").agg(F.collect_list(member).alias("own")).select("own"), kind, percent, LEAST)
         many = left.filter(F.col("size") > small)
-        more = not last and not many.isEmpty()
-        if more:
-            # The node's seed picks one coordinate, and a second one for a quarter of the nodes: 1.25 children a member,
-            # somewhat above 1 / 0.85, which keeps a pair at the threshold together in one child on average.
+        more = not many.isEmpty()
+        if more and level < levels:
             seed = F.xxhash64("node", F.lit(level))
-            one, two = F.pmod(seed, F.lit(coordinates)), F.pmod(F.xxhash64(seed, F.lit(1)), F.lit(coordinates))
-            chosen = F.when(F.pmod(F.xxhash64(seed, F.lit(2)), F.lit(4)) == 0, F.array(one, two)).otherwise(F.array(one))
-            child = many.join(classes.select("cid", "sig"), "cid").withColumn("c", F.explode(F.array_distinct(chosen)))
-            child = child.select(F.xxhash64("node", "c", token(F.col("c").cast("int"))).alias("node"), "cid", "n")
+            chosen = F.array_distinct(F.array(F.pmod(seed, F.lit(coordinates)), F.pmod(F.xxhash64(seed), F.lit(coordinates))))
+            child = many.withColumn("c", F.explode(chosen)).select(F.xxhash64("node", "c", token(F.col("c").cast("int"))).alias("node"), "cid")
             members = shared(child, f"near-nodes-{level + 1}")
-            pairs = pairs.union(pivots(members)).distinct()
+            pairs = pairs.union(pivots(members.filter(F.col("size") > small)))
+        elif more:
+            pairs = pairs.union(_blocks_compared(many, kind, percent, small))
         fresh = confirm(pairs, f"near-{level}")
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            roots = components(links, spark, f"near-roots-{level}")
+        if fresh is not None:
+            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(fresh), spark, f"near-roots-{level}")
         if not more:
             break
     class_root = classes.select("twin", "cid").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
@@ -254,5 +273,14 @@ def near_duplicates(
     )
 
 
+def _blocks_compared(many: DataFrame, kind: str, percent: int, small: int) -> DataFrame:
+    """All pairs of large nodes, by pairs of blocks of about small / 2 members: what shares two blocks is a node of its own."""
+    halves = F.ceil(2 * F.col("size") / small).cast("int")
+    placed = many.withColumn("k", F.pmod(F.xxhash64("cid"), halves.cast("bigint")).cast("int"))
+    mates = F.transform(F.sequence(F.lit(0), halves - 1), lambda j: F.struct(F.least("k", j).alias("x"), F.greatest("k", j).alias("y")))
+    dealt = placed.withColumn("m", F.explode(mates)).groupBy("node", "m").agg(F.collect_list(F.struct("cid", "n", "root", "sig")).alias("own"))
+    return _compared(dealt.select("own"), kind, percent, LEAST)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
