@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 from .common import settle, slices, table, text_rows
 
 #: Words in the code book at most: the most frequent ones. Rarer words are folded where they stand.
-BOOK = 250_000
+BOOK = 500_000
 #: Words of more bytes are split by one row of Python instead, whose time doesn't grow with the square of the length.
 FOLDED_BYTES = 64
 #: Entries of a worker's cache from pieces of text to ids.
-CACHE = 400_000
+CACHE = 200_000
+#: Distinct pieces that a task counts before it passes its counts on.
+COUNTED = 400_000
 
 
 @cache
@@ -33,8 +36,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 # --- the fold, in Spark's higher-order functions -------------------------------------------------------------------
 
-#: Bits of an id in the packed rank map, and bits of the place of a pair in a word.
-ID_BITS, PLACE_BITS = 20, 8
+#: Bits of an id in the packed rank map, and more pieces than a word has.
+ID_BITS, MOST = 20, 1000
 
 
 def _let(value: Column, body) -> Column:
@@ -57,9 +60,9 @@ class RankMap:
     n_slots: int
     of_byte: Column
 
-    def hashes(self, a, b) -> tuple:
+    def hashes(self, key) -> tuple:
         """Alike for columns and arrays."""
-        return (a * 40503 + b * 69061) % self.n_shift, (a * 48271 + b * 16807) % self.n_slots
+        return key % self.n_shift, key % self.n_slots
 
 
 def rank_map(ranks: dict[bytes, int]) -> RankMap:
@@ -71,8 +74,15 @@ def rank_map(ranks: dict[bytes, int]) -> RankMap:
                 found.append((left, right, rank))
     a, b, rank = np.array(found, np.int64).reshape(-1, 3).T
     size = max(16, 1 << (2 * len(found)).bit_length())
-    out = RankMap(F.lit(0), F.lit(0), size // 4 - 1, size - 1, F.lit(0))
-    first, second = out.hashes(a, b)
+
+    def modulus(n: int) -> int:
+        """The next odd number down under which the left id's unit spreads well."""
+        while n % 2 == 0 or not n < 4 * ((1 << ID_BITS) % n) < 3 * n:
+            n -= 1
+        return n
+
+    out = RankMap(F.lit(0), F.lit(0), modulus(size // 4), modulus(size), F.lit(0))
+    first, second = out.hashes(a << ID_BITS | b)
     packed = (a << ID_BITS | b) << ID_BITS | rank
     slots, shift, rng = np.full(out.n_slots, -1, np.int64), np.zeros(out.n_shift, np.int64), np.random.default_rng(5)
     order = np.argsort(first, kind="stable")
@@ -117,28 +127,36 @@ def fold_merges(words: Column, ranks: RankMap) -> Column:
     """
 
     def fold(word: Column, shift: Column, slots: Column) -> Column:
-        def found(acc: Column, i: Column) -> Column:
-            """Rank and place of the pair at i in one number, null where it forms no piece."""
-            key = F.get(acc, i).cast("bigint") * (1 << ID_BITS) + F.get(acc, i + 1)
+        def rank(a: Column, b: Column) -> Column:
+            """Rank of the piece that two neighbours form; null if they form none."""
 
-            def look_up(k: Column) -> Column:
-                first, second = ranks.hashes(F.shiftright(k, ID_BITS), k % (1 << ID_BITS))
+            def look_up(key: Column) -> Column:
+                first, second = ranks.hashes(key)
                 entry = F.get(slots, ((second + F.get(shift, first.cast("int"))) % ranks.n_slots).cast("int"))
-                return _let(entry, lambda e: F.when(F.shiftright(e, ID_BITS) == k, (e % (1 << ID_BITS)) * (1 << PLACE_BITS) + i))
+                return _let(entry - key * (1 << ID_BITS), lambda x: F.when((x >= 0) & (x < (1 << ID_BITS)), x.cast("int")))
 
-            return _let(key, look_up)
+            return _let(a.cast("bigint") * (1 << ID_BITS) + b, look_up)
 
         def step(acc: Column) -> Column:
-            low = F.array_min(F.transform(F.sequence(F.lit(0), F.size(acc) - 2), lambda i: found(acc, i)))
+            p, r = acc["p"], acc["r"]
+
+            def merged(low: Column) -> Column:
+                def at_place(at: Column) -> Column:
+                    # The pieces at and at + 1 become one, and so the ranks beside it change.
+                    pieces = F.concat(F.slice(p, 1, at - 1), F.array(low), F.slice(p, at + 2, MOST))
+                    beside = F.array(rank(F.get(p, at - 2), low), rank(low, F.get(p, at + 1)))
+                    return F.struct(pieces.alias("p"), F.concat(F.slice(r, 1, at - 2), beside, F.slice(r, at + 2, MOST)).alias("r"))
 
-            def merged(x: Column) -> Column:
-                at = (x % (1 << PLACE_BITS)).cast("int")
-                one = F.array(F.shiftright(x, PLACE_BITS).cast("int"))
-                return F.when(x.isNull(), acc).otherwise(F.concat(F.slice(acc, 1, at), one, F.slice(acc, at + 3, F.size(acc))))
+                return F.when(low.isNull(), acc).otherwise(_let(F.array_position(r, low).cast("int"), at_place))
 
-            return F.when(F.size(acc) < 2, acc).otherwise(_let(low, merged))
+            return _let(F.array_min(r), merged)
 
-        return F.when(F.size(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(word)), word, lambda acc, _: step(acc)))
+        # A border on either side, which forms no piece, so that every pair has one before and one after it.
+        edge = F.array(F.lit(-1))
+        pieces = F.concat(edge, word, edge)
+        start = F.struct(pieces.alias("p"), F.zip_with(pieces, F.slice(pieces, 2, MOST), rank).alias("r"))
+        done = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda acc, _: step(acc), lambda acc: F.slice(acc["p"], 2, F.size(acc["p"]) - 2))
+        return F.when(F.size(word) < 2, word).otherwise(done)
 
     return _let(ranks.shift, lambda shift: _let(ranks.slots, lambda slots: F.transform(words, lambda w: fold(w, shift, slots))))
 
@@ -177,40 +195,50 @@ def split_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 # --- pieces of text ------------------------------------------------------------------------------------------------
 
 
-def pieces(text: str) -> list[str]:
-    """Cuts a text before spaces that follow a character other than white space and come before one.
+#: White space other than the four below, in Python's or the pattern's sense.
+_RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def pieces(text: str) -> tuple[list[str], list[str]]:
+    """Pieces whose matches together are the text's: those as they are, and those that a space goes before.
 
-    No match of the pattern holds a space after such a character, so the pieces' matches are the text's.
+    A text is cut before spaces that follow a character other than white space: no match holds a space after such a
+    character.
     """
     parts = text.split(" ")
+    if not (text.startswith(" ") or "  " in text or "\n " in text or "\t " in text or "\r " in text or _RARE_SPACE.search(text)):
+        return parts[:1], parts[1:]
     out = [parts[0]]
     for p in parts[1:]:
         if out[-1] and not out[-1][-1].isspace():
             out.append(" " + p)
         else:
             out[-1] += " " + p
-    return out
+    return out, []
 
 
 def count_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
     """(word, n): how often each match of the pattern occurs, counted within tasks first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen, rows = regex.compile(pattern).findall, Counter(), Counter()
+        find, plain, spaced, rows = regex.compile(pattern).findall, Counter(), Counter(), Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for piece, n in seen.items():
-                for w in find(piece):
-                    rows[w] += n
-            seen.clear()
+            for seen, before in ((plain, ""), (spaced, " ")):
+                for piece, n in seen.items():
+                    for w in find(before + piece):
+                        rows[w] += n
+                seen.clear()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], names=["word", "n"])
             rows.clear()
 
         for batch in batches:
             for body in batch.column(0):
-                seen.update(pieces(body.as_buffer().to_pybytes().decode("utf-8", "replace")))
-                if len(seen) > CACHE:
+                one, other = pieces(body.as_buffer().to_pybytes().decode("utf-8", "replace"))
+                plain.update(one)
+                spaced.update(other)
+                if len(plain) + len(spaced) > COUNTED:
                     yield from flush()
         yield from flush()
 
@@ -218,13 +246,57 @@ def count_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
     return made.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words that occur at least so often that they are `most` at most. A table of counts of counts decides, so no
+    task sorts the words."""
+    step = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("bigint"))
+    rows = words.groupBy(step.alias("least")).agg(F.count("*").alias("words")).collect()  # 1,000 and some
+    total, least = 0, None
+    for r in sorted(rows, key=lambda r: -r["least"]):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["least"]
+    return words.filter(F.lit(False) if least is None else F.col("n") >= least)
+
+
+class _Memo(dict):
+    """Codes of pieces that were seen: ids, and for each word left to the fold a number below -1 that leads to it."""
+
+    def __init__(self, known: dict[str, bytes], own: dict[bytes, int], find, before: str, rare: list[list[int]]):
+        super().__init__()
+        self.known, self.own, self.find, self.before, self.rare = known, own, find, before, rare
+
+    def __missing__(self, piece: str) -> bytes:
+        ids, hold = [], True
+        for w in self.find(self.before + piece):
+            if (got := self.known.get(w)) is not None:
+                ids.append(got)
+                continue
+            raw = w.encode()
+            if len(raw) == 1:
+                ids.append(self.own[raw].to_bytes(4, "little"))
+            elif len(raw) > FOLDED_BYTES:
+                ids.append(np.array(split_long(raw, self.own), np.int32).tobytes())
+            else:
+                hold = False  # its number holds for the present texts only
+                self.rare.append([self.own[raw[i : i + 1]] for i in range(len(raw))])
+                ids.append((-1 - len(self.rare)).to_bytes(4, "little", signed=True))
+        out = b"".join(ids)
+        if hold:
+            if len(self) > CACHE:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", book_words: int = BOOK
 ) -> DataFrame:
     """One row per input row: ``id_col`` and ids (array of int) of the whole text, without special tokens.
 
-    Distinct words are counted over all documents; the ``book_words`` most frequent ones are folded once into a code
-    book, whose size is thereby bounded, and broadcast. Documents are then cut into words again; words outside of
+    Distinct words are counted over all documents; the most frequent ones, ``book_words`` at most, are
+    folded once into a code book, whose size is thereby bounded, and broadcast. Documents are then cut into words again; words outside of
     the book go along with their document and are folded by the same expression, so every word is encoded by rank
     whatever the book holds. Texts aren't shuffled, only words and counts.
 
@@ -234,8 +306,8 @@ def encode_documents(
     ranks = load_ranks(ranks_path)
     mapped = rank_map(ranks)
 
-    words = count_words(docs, pattern, text_col).filter(F.octet_length("word").between(2, FOLDED_BYTES))
-    top = settle(words.orderBy(F.desc("n"), "word").limit(book_words), "bpe-words").repartition(4 * spark.sparkContext.defaultParallelism, "word")
+    words = settle(count_words(docs, pattern, text_col).filter(F.octet_length("word").between(2, FOLDED_BYTES)), "bpe-words")
+    top = most_frequent(words, book_words).select("word").repartition(4 * spark.sparkContext.defaultParallelism, "word")
     folded = settle(top.select("word", F.get(fold_merges(F.array(byte_ids(F.col("word"), mapped.of_byte)), mapped), F.lit(0)).alias("ids")), "bpe-book")
     book = {r["word"]: np.array(r["ids"], np.int32).tobytes() for r in folded.toLocalIterator()}
     shared = spark.sparkContext.broadcast((ranks_path, book))
@@ -243,43 +315,24 @@ def encode_documents(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, known = shared.value
         own = load_ranks(path)
-        find, memo = regex.compile(pattern).findall, {}
-
-        def look_up(piece: str) -> tuple[bytes, tuple[list[int], ...]]:
-            """Ids of a piece with -1 for each word that is left to the fold, and those words."""
-            ids, left = [], []
-            for w in find(piece):
-                if (got := known.get(w)) is not None:
-                    ids.append(got)
-                    continue
-                raw = w.encode()
-                if len(raw) == 1:
-                    ids.append(own[raw].to_bytes(4, "little"))
-                elif len(raw) > FOLDED_BYTES:
-                    ids.append(np.array(split_long(raw, own), np.int32).tobytes())
-                else:
-                    ids.append(b"\xff\xff\xff\xff")
-                    left.append([own[raw[i : i + 1]] for i in range(len(raw))])
-            return b"".join(ids), tuple(left)
-
+        find, rare = regex.compile(pattern).findall, []
+        plain, spaced = (_Memo(known, own, find, before, rare) for before in ("", " "))
         for batch in batches:
             for a, b in slices(batch.column(1), 2 << 20):
                 codes, lefts = [], []
+                rare.clear()
                 for body in batch.column(1)[a:b].to_pylist():
-                    out, left = [], []
-                    for piece in pieces(body.decode("utf-8", "replace")):
-                        got = memo.get(piece)
-                        if got is None:
-                            if len(memo) > CACHE:
-                                memo.clear()
-                            got = memo[piece] = look_up(piece)
-                        out.append(got[0])
-                        if got[1]:
-                            left += got[1]
-                    codes.append(b"".join(out))
-                    lefts.append(left)
-                flat = pa.array(np.frombuffer(b"".join(codes), np.int32))
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in codes])]).astype(np.int32))
+                    one, other = pieces(body.decode("utf-8", "replace"))
+                    ids = np.frombuffer(b"".join(map(plain.__getitem__, one)) + b"".join(map(spaced.__getitem__, other)), np.int32)
+                    at = np.flatnonzero(ids < 0)
+                    if len(at):
+                        lefts.append([rare[-2 - k] for k in ids[at].tolist()])
+                        ids = np.maximum(ids, -1)
+                    else:
+                        lefts.append([])
+                    codes.append(ids)
+                flat = pa.array(np.concatenate(codes))
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in codes])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.ListArray.from_arrays(ends, flat), pa.array(lefts, pa.list_(pa.list_(pa.int32())))], names=["id", "codes", "words"]
                 )
