@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, secrets, suffix_dedup, token_files, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, secrets, suffix_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_language_id": language_id.op4_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
