@@ -39,7 +39,7 @@ def date_pattern(strftime: str) -> str:
 
 def epoch_seconds(t: Column) -> Column:
     """A timestamp as seconds since the epoch, with fractions."""
-    return F.unix_micros(t) / 1e6
+    return F.unix_micros(t.cast("timestamp")) / 1e6
 
 
 def date_text(seconds: Column, strftime: str, zone: str = "UTC") -> Column:

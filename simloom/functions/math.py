@@ -40,7 +40,7 @@ def divide(x: Column, *more: Column) -> Column:
 
 def mod(x: Column, *more: Column) -> Column:
     """Remainder with the sign of the dividend; null for a zero divisor."""
-    return reduce(lambda a, b: F.try_mod(a, clean(b)), more, clean(x))
+    return reduce(lambda a, b: F.try_mod(a, clean(b)), more, clean(x)) + 0.0  # no negative zero
 
 
 def floor(x: Column) -> Column:
