@@ -65,6 +65,8 @@ class Model:
 
     def predict(self, bodies: list[bytes]) -> tuple[list[str], np.ndarray]:
         """The label of each whole text and its calibrated probability; `und` with 0 for texts without a letter."""
+        if not self.labels:
+            return [UNDETERMINED] * len(bodies), np.zeros(len(bodies))
         grams, starts, has = ngram_features(bodies)
         scores = np.zeros((len(bodies), len(self.labels)))
         sizes = np.diff(starts)
@@ -141,13 +143,13 @@ def fit_language_model(docs: DataFrame, label_col: str = "lang", id_col: str = "
 
     The rows that may be learnt from are those given with a label. The inverse document frequencies, a corpus
     statistic, are counted over all of them. Only the sample's feature counts reach the driver. Training is
-    deterministic. Raises ValueError if no row has a label.
+    deterministic. Without labelled rows the model calls every text `und`.
     """
     labelled = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     base = labelled.select(F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), as_bytes(text_col).alias("body"))
     counts = {r["label"]: r["n"] for r in base.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        raise ValueError("no labelled rows")
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
     labels = sorted(counts)
     # The share of each label's rows whose hash falls below its threshold is per_label rows or all.
     share = F.lit(None).cast("double")

@@ -50,6 +50,14 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 _NAME = re.compile(r"[a-z]+")
 
 
+def written_together(name: str, counts: dict[str, int]) -> bool:
+    """Whether a name is a run of words of three letters or more that are all more frequent than itself."""
+    reached = [True] + [False] * len(name)
+    for end in range(3, len(name) + 1):
+        reached[end] = any(reached[a] and counts.get(name[a:end], 0) > counts[name] for a in range(max(0, end - LONGEST), end - 2))
+    return reached[-1]
+
+
 class Segmenter:
     """Splits names that are written together into the most probable words of a unigram model."""
 
@@ -132,8 +140,7 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds=SEED_BLOCK, id_col: str = "p
     typical = max(unigrams.values(), default=1)
     for w in seeds:
         unigrams[w] = unigrams.get(w, 0) + typical
-    # A name that is itself a run of known words must not count as a word for being frequent.
-    known = Segmenter({w: n for w, n in unigrams.items() if len(w) > 1})
+    known = Segmenter({w: n for w, n in unigrams.items() if len(w) > 1 and not written_together(w, unigrams)})
     splitting = spark.sparkContext.broadcast(known)
 
     cut = _per_row(urls, "array<string>", "words", pa.list_(pa.string()), lambda: splitting.value.tokens)
