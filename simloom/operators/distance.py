@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.strings import edit_distance
+
 INF = float("inf")
 
 
@@ -17,7 +19,7 @@ INF = float("inf")
 class Feature:
     """How one column takes part in a distance.
 
-    kind: continuous, cyclic or nominal. deviation: expected noise of the column, 0 for none. cycle: length of a cyclic
+    kind: continuous, cyclic, nominal, or string (insertions and deletions between texts). deviation: expected noise of the column, 0 for none. cycle: length of a cyclic
     column's period. classes: number of classes of a nominal one. known_unknown and unknown_unknown: difference if one
     or both values are null; a missing one is the other, both missing `most`, the largest difference of the column.
     confusion: nominal deviations by (own, other) value.
@@ -55,7 +57,7 @@ def difference_term(f: Feature, a: Column, b: Column, surprisal: bool) -> tuple[
         else:
             term = F.when(_same(a, b), 0.0).otherwise(1.0)
     else:
-        d = F.abs(a.cast("double") - b.cast("double"))
+        d = edit_distance(a, b) if f.kind == "string" else F.abs(a.cast("double") - b.cast("double"))
         if f.kind == "cyclic":
             d = F.least(d % f.cycle, f.cycle - d % f.cycle)
         s = f.deviation

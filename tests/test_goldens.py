@@ -171,3 +171,7 @@ def test_distances(spark):
     assert distance(spark, (1.0, 1.0), (2.0, 2.0), noisy, surprisal=True) == pytest.approx(1.6766764161830636)
     mixed = [Feature(n, kind, deviation=s, weight=1 / s, classes=c) for n, kind, s, c in zip("abcdef", ("nominal", "nominal", "nominal", "continuous", "nominal", "continuous"), (0.4, 0.1, 0.2, 30, 0.3, 0.05), (2, 100, 2, None, 2, None), strict=True)]
     assert distance(spark, (1, 2, 1, 100.0, 1, 50.0), (1, 1, 1, 120.0, 1, 50.1), mixed, p=1) > 0
+
+
+def test_text_distance(spark):
+    assert distance(spark, ("s12", 1.0), ("s21", 2.0), [Feature("s", "string"), Feature("x")]) == 3
