@@ -18,10 +18,10 @@ CELLS = 1 << 16
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, pos and words of each line of each document; lines end at line feeds. Null text is one empty line."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), upper, upper.lower())
+    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return lines.select("id", "pos", F.trim(F.regexp_replace("line", "[\\x20\\x09-\\x0D]+", " ")).alias("line"))
+    run = "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+"  # lone spaces stay as they are
+    return lines.select("id", "pos", F.trim(F.regexp_replace("line", run, " ")).alias("line"))
 
 
 def _tokens(line: Column, k: int) -> Column:
@@ -40,7 +40,7 @@ def _tokens(line: Column, k: int) -> Column:
 def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes every line that has an earlier one, by (id, line number), with 100 * intersection >= percent * union.
 
-    Equal lines (but for case of A-Z and white space) fold into one class with its first place. Token counts over all
+    Equal lines (but for case and white space) fold into one class with its first place. Token counts over all
     lines, in a table of a fixed size, give the order; the prefix rows are joined on the token, with the length and
     positional filters in the join; what is left is verified on full sets, made anew for those lines alone.
 
@@ -56,22 +56,23 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     cells = settle(cells, "line-cells")
     mean = F.greatest(F.lit(1.0), F.sum("n").over(Window.partitionBy()) / CELLS)
     # How many times the mean a cell holds, as a power of two: 0 for all but the common ones.
-    common = cells.select("cell", F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / mean))).cast("int").alias("c")).filter("c > 0")
-    ranks = common.agg(F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("m"))
-    ranks = ranks.select(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("rank"))
+    common = cells.select("cell", F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / mean))).cast("int").alias("c"))
+    every = docs.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(common, "cell", "left").na.fill(0, ["c"])
+    ranks = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "c"))), lambda e: e["c"]).alias("rank"))  # CELLS rows
     ranks = settle(ranks, "line-ranks")
 
-    first = settle(full.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("at"), F.first("line").alias("line")), "line-classes")
     ordered = F.transform(
         F.array_sort(F.transform(tokens, lambda t: F.struct(F.get("rank", F.pmod(t, F.lit(CELLS)).cast("int")).alias("r"), t.alias("t")))), lambda e: e["t"]
     )
     n = F.size("tokens")
-    sets = first.crossJoin(F.broadcast(ranks)).select("key", "at", ordered.alias("tokens"))  # one row of CELLS numbers
     reach = n - F.ceil(n * percent / 100).cast("int") + 1
-    prefix = sets.select("key", "at", n.alias("n"), F.posexplode(F.slice("tokens", 1, reach)).alias("i", "t"))
-    prefix = settle(prefix, "line-prefix")
-    twice = prefix.groupBy("t").agg(F.count("*").alias("rows")).filter("rows > 1").select("t")
-    shared = settle(prefix.join(twice, "t", "left_semi"), "line-shared")
+    # Only the prefix of a line's tokens goes through the shuffle that folds equal lines, not its text.
+    sets = full.crossJoin(F.broadcast(ranks)).select("id", "pos", "key", ordered.alias("tokens"))  # one row of CELLS numbers
+    sets = sets.select("id", "pos", "key", n.alias("n"), F.slice("tokens", 1, reach).alias("prefix"))
+    first = settle(sets.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-classes")
+    twice = settle(first.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("rows")).filter("rows > 1").select("t"), "line-twice")
+    prefix = first.select("key", "at", "n", F.posexplode("prefix").alias("i", "t"))
+    shared = settle(only_ids(prefix, "t", twice.withColumnRenamed("t", "id")), "line-shared")
     a = shared.select("t", *(F.col(c).alias(f"a_{c}") for c in ("key", "at", "n", "i")))
     b = shared.select("t", *(F.col(c).alias(f"b_{c}") for c in ("key", "at", "n", "i")))
     # A common token at places i and j leaves at most the lesser rest on either side.
@@ -83,7 +84,7 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     )
     pairs = settle(pairs.select("a_key", "b_key").distinct(), "line-pairs")
     asked = pairs.select(F.explode(F.array("a_key", "b_key")).alias("id")).distinct()
-    whole = settle(only_ids(first.select("key", "line"), "key", asked).select("key", tokens.alias("tokens")), "line-sets")
+    whole = settle(only_ids(full.select("key", "line"), "key", asked).dropDuplicates(["key"]).select("key", tokens.alias("tokens")), "line-sets")
     both = pairs.join(whole.select(F.col("key").alias("a_key"), F.col("tokens").alias("x")), "a_key")
     both = both.join(whole.select(F.col("key").alias("b_key"), F.col("tokens").alias("y")), "b_key")
     common_n = F.size(F.array_intersect("x", "y"))
@@ -111,7 +112,7 @@ WITH l AS (
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents
 ), w AS (
-  SELECT doc_id, pos, raw, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line
+  SELECT doc_id, pos, raw, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line
   FROM l
 ), c AS (
   SELECT line, min((doc_id, pos)) AS first_at FROM w WHERE line <> '' GROUP BY line
