@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 from collections import Counter
@@ -23,7 +24,7 @@ BOOK = 500_000
 #: Words of more bytes are split by one row of Python instead, whose time doesn't grow with the square of the length.
 FOLDED_BYTES = 64
 #: Entries of a worker's cache from pieces of text to ids.
-CACHE = 200_000
+CACHE = 80_000
 #: Distinct pieces that a task counts before it passes its counts on.
 COUNTED = 400_000
 
@@ -226,8 +227,14 @@ def count_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
         def flush() -> Iterator[pa.RecordBatch]:
             for seen, before in ((plain, ""), (spaced, " ")):
                 for piece, n in seen.items():
-                    for w in find(before + piece):
-                        rows[w] += n
+                    if piece.isalpha():  # one match, whatever stands around it
+                        rows[before + piece] += n
+                    elif piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                        rows[before + piece[:-1]] += n
+                        rows[piece[-1]] += n
+                    else:
+                        for w in find(before + piece):
+                            rows[w] += n
                 seen.clear()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], names=["word", "n"])
@@ -268,8 +275,13 @@ class _Memo(dict):
         self.known, self.own, self.find, self.before, self.rare = known, own, find, before, rare
 
     def __missing__(self, piece: str) -> bytes:
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():  # a word and a match of its own
+            out = self[piece[:-1]] + self.own[piece[-1].encode()].to_bytes(4, "little")
+            if piece[:-1] in self:
+                self[piece] = out
+            return out
         ids, hold = [], True
-        for w in self.find(self.before + piece):
+        for w in (self.before + piece,) if piece.isalpha() else self.find(self.before + piece):
             if (got := self.known.get(w)) is not None:
                 ids.append(got)
                 continue
@@ -291,7 +303,7 @@ class _Memo(dict):
 
 
 def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", book_words: int = BOOK
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", book_words: int = BOOK, finish=None
 ) -> DataFrame:
     """One row per input row: ``id_col`` and ids (array of int) of the whole text, without special tokens.
 
@@ -300,6 +312,8 @@ def encode_documents(
     the book go along with their document and are folded by the same expression, so every word is encoded by rank
     whatever the book holds. Texts aren't shuffled, only words and counts.
 
+    finish: further columns' schema and a function from batches of (id, ids) to batches of id and those, run in place.
+
     Null text counts as empty and has no ids; null ids pass through; repeated rows repeat; other columns are ignored.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
@@ -339,7 +353,24 @@ def encode_documents(
 
     cut = text_rows(docs, id_col, text_col).mapInArrow(work, f"id {kind}, codes array<int>, words array<array<int>>")
     filled = cut.select("id", "codes", fold_merges(F.col("words"), mapped).alias("rare"))
-    return filled.mapInArrow(_fill, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    if finish is None:
+        return filled.mapInArrow(_fill, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    schema, function = finish
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _fill(batches):
+            yield function(batch)
+
+    return filled.mapInArrow(finished, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+
+
+def decoder(ranks_path: str):
+    """A function from ids to the bytes that they stand for: their binary pieces, put together."""
+    ranks = load_ranks(ranks_path)
+    pieces_of = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces_of[rank] = piece
+    return lambda ids: b"".join(map(pieces_of.__getitem__, ids))
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,12 +405,23 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def digests(ranks_path: str):
+    """Finishes documents as the number of their ids and the digests of the ids and of the bytes they decode to."""
+
+    def function(batch: pa.RecordBatch) -> pa.RecordBatch:
+        decode = decoder(ranks_path)
+        n, ids_sha, decoded = [], [], []
+        for own in batch.column(1):
+            ids = own.values.to_numpy().tolist()
+            n.append(len(ids))
+            ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(decode(ids)).hexdigest())
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return "n_tokens bigint, ids_sha256 string, decoded_sha256 string", function
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = default_vocabulary()
-    found = encode_documents(table(spark, sf_dir, "documents"), path, pattern)
-    return found.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode_ids(F.col("ids"), piece_list(load_ranks(path))), 256).alias("decoded_sha256"),
-    )
+    return encode_documents(table(spark, sf_dir, "documents"), path, pattern, finish=digests(path))
