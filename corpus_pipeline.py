@@ -35,8 +35,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return _without(docs, near_duplicates(docs), ~F.col("kept"))
+    """One document of each group of near copies: shingles of five words, a similarity of 0.8 or more."""
+    return _without(docs, near_duplicates(docs, percent=80, words=5), ~F.col("kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ nothing in it can change the result. Small nodes then compare members of differe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -118,23 +119,23 @@ def components(links: DataFrame, spark: SparkSession, name: str) -> DataFrame:
         before = after
 
 
-def _agreeing(pairs: DataFrame, kind: str, least: float) -> DataFrame:
-    """Pairs (a, b, sa, sb) whose signatures agree on at least that share of coordinates."""
+def _agreeing(pairs: DataFrame, kind: str, least: int) -> DataFrame:
+    """Pairs (a, b, sa, sb) whose signatures agree on at least so many coordinates."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.int32).reshape(batch.num_rows, -1) for c in batch.columns[2:4])
-            keep = pa.array((x == y).mean(axis=1) >= least)
+            keep = pa.array((x == y).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(work, f"a {kind}, b {kind}")
 
 
-def _compared(nodes: DataFrame, kind: str, percent: int, least: float) -> DataFrame:
+def _compared(nodes: DataFrame, kind: str, percent: int, least: int) -> DataFrame:
     """Pairs (a, b) of members of one node, of different components, whose sizes allow a link and whose signatures
-    agree on at least that share of coordinates. A node comes as a list of its members."""
+    agree on at least so many coordinates. A node comes as a list of its members."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +147,7 @@ def _compared(nodes: DataFrame, kind: str, percent: int, least: float) -> DataFr
                 for i in range(len(n) - 1):
                     may = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
                     at = np.flatnonzero(may) + i + 1
-                    at = at[(sig[at] == sig[i]).mean(axis=1) >= least] if len(at) else at
+                    at = at[(sig[at] == sig[i]).sum(axis=1) >= least] if len(at) else at
                     first += [i] * len(at)
                     second += at.tolist()
                 if first:
@@ -171,16 +172,35 @@ def _verified(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
     return pairs.select("a", "b", "xa", "xb").mapInArrow(work, f"a {kind}, b {kind}")
 
 
-#: Share of signature coordinates on which a pair must agree to be looked at; of 64, a pair at 0.85 falls below it
-#: with a probability of about 5e-6.
-LEAST = 0.64
+#: The share of pairs just at the threshold that signatures may rule out.
+MISS = 1e-5
+
+
+def agreement(percent: int, coordinates: int) -> list[float]:
+    """The probability of each number of coordinates on which a pair of that similarity agrees."""
+    s = percent / 100
+    return [comb(coordinates, a) * s**a * (1 - s) ** (coordinates - a) for a in range(coordinates + 1)]
+
+
+def least_agreeing(percent: int, coordinates: int) -> int:
+    """On how many coordinates a pair must agree to be looked at: a pair at the threshold falls below with MISS at most."""
+    below = np.cumsum(agreement(percent, coordinates))
+    return int(np.flatnonzero(below > MISS)[0])
+
+
+def fewest_trees(percent: int) -> int:
+    """Trees that start with a coordinate each, so that a pair at the threshold meets in none with MISS / 10 at most."""
+    trees = 1
+    while (1 - percent / 100) ** trees > MISS / 10:
+        trees += 1
+    return trees
 
 
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
     words: int = 5,
-    trees: int = 8,
+    trees: int | None = None,
     coordinates: int = 64,
     small: int = 256,
     levels: int = 5,
@@ -191,18 +211,25 @@ def near_duplicates(
 
     Sets are distinct shingles of ``words`` words of the whole text, with A-Z in lower case; shorter texts are one
     shingle, texts without words are empty and linked with nothing. ``trees`` independent trees start with a
-    coordinate each, so a pair at 0.85 meets in one of 8 with probability 1 - 3e-7. A node of up to ``small`` members
+    coordinate each; unless given, their number follows from ``percent``, so that a pair at the threshold meets in one
+    with probability 1 - 1e-6 (8 trees at 85, 9 at 80, 16 at 60). A node of up to ``small`` members
     is compared exhaustively; a larger one branches into three children, each by three coordinates its seed picks, so
     a pair at 0.85 stays together in one of them with probability 0.94 a level and tree. What is still large after
     ``levels`` levels is compared in blocks of ``small`` members against each other, so no cap drops a pair.
-    Signatures rule out pairs below ``LEAST``; all others are confirmed on full sets. Sets are only made for members
+    Signatures rule out pairs that agree on fewer coordinates than ``least_agreeing`` tells from ``percent``, a pair at
+    the threshold with probability 1e-5 at most; all others are confirmed on full sets. Sets are only made for members
     of such pairs, and only those texts are shuffled.
 
     Returns one row per input row: ``id_col``, n_shingles, component_id (smallest id of the component), kept
     (``id_col`` = component_id). Rows with a null id get their n_shingles, a null component_id and kept = true: they
     can't be named, so they aren't linked. Repeated rows give repeated results. Other columns are ignored.
     """
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be from 1 to 100, not {percent}")
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    trees = trees or fewest_trees(percent)
+    coordinates = max(coordinates, trees)
+    least = least_agreeing(percent, coordinates)
     rows = settle(sketch(docs, coordinates, id_col, text_col, False, words), "near-sketch")
     own = rows.filter("twin is not null and id is not null")
     classes = settle(own.groupBy("twin").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("more").alias("sig")), "near-classes")
@@ -224,7 +251,7 @@ def near_duplicates(
         sig = classes.select("cid", "n", "sig")
         both = pairs.join(sig.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
         both = both.join(sig.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-        return _agreeing(both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"), kind, LEAST)
+        return _agreeing(both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"), kind, least)
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame | None:
         """Of pairs (a, b) the linked ones; None without pairs."""
@@ -249,7 +276,7 @@ def near_duplicates(
         opened = named.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("node")
         left = settle(named.join(opened, "node", "left_semi").join(classes.select("cid", "n", "sig"), "cid"), f"near-open-{level}")
         member = F.struct("cid", "n", "root", "sig")
-        pairs = _compared(left.filter(F.col("size") <= small).groupBy("node").agg(F.collect_list(member).alias("own")).select("own"), kind, percent, LEAST)
+        pairs = _compared(left.filter(F.col("size") <= small).groupBy("node").agg(F.collect_list(member).alias("own")).select("own"), kind, percent, least)
         many = left.filter(F.col("size") > small)
         more = not many.isEmpty()
         if more and level < levels:
@@ -260,7 +287,7 @@ def near_duplicates(
             members = shared(child, f"near-nodes-{level + 1}")
             pairs = pairs.union(pivots(members.filter(F.col("size") > small)))
         elif more:
-            pairs = pairs.union(_blocks_compared(many, kind, percent, small))
+            pairs = pairs.union(_blocks_compared(many, kind, percent, small, least))
         fresh = confirm(pairs, f"near-{level}")
         if fresh is not None:
             roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(fresh), spark, f"near-roots-{level}")
@@ -275,13 +302,13 @@ def near_duplicates(
     )
 
 
-def _blocks_compared(many: DataFrame, kind: str, percent: int, small: int) -> DataFrame:
+def _blocks_compared(many: DataFrame, kind: str, percent: int, small: int, least: int) -> DataFrame:
     """All pairs of large nodes, by pairs of blocks of about small / 2 members: what shares two blocks is a node of its own."""
     halves = F.ceil(2 * F.col("size") / small).cast("int")
     placed = many.withColumn("k", F.pmod(F.xxhash64("cid"), halves.cast("bigint")).cast("int"))
     mates = F.transform(F.sequence(F.lit(0), halves - 1), lambda j: F.struct(F.least("k", j).alias("x"), F.greatest("k", j).alias("y")))
     dealt = placed.withColumn("m", F.explode(mates)).groupBy("node", "m").agg(F.collect_list(F.struct("cid", "n", "root", "sig")).alias("own"))
-    return _compared(dealt.select("own"), kind, percent, LEAST)
+    return _compared(dealt.select("own"), kind, percent, least)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
