@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settle, table
 
 # Rules (verdict, host, path) that come before the classifier; a rule fits its host and subdomains.
 RULES = (
@@ -23,8 +22,7 @@ RULES = (
 # Words of hosts that mark a page as unwanted; the seed labels from which the classifier learns.
 SEED_BLOCK = ("ads", "adult", "bet", "bets", "bonus", "casino", "cheap", "farm", "free", "loan", "pills", "poker", "porn", "spam", "track", "tracker", "win", "xxx")
 
-#: Words and tokens that the models hold at most; rarer ones count as unseen.
-MOST_WORDS = 200_000
+#: Letters of the longest word that a name is split into.
 LONGEST = 24
 
 
@@ -47,9 +45,6 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-_NAME = re.compile(r"[a-z]+")
-
-
 def written_together(name: str, counts: dict[str, int]) -> bool:
     """Whether a name is a run of words of three letters or more that are all more frequent than itself."""
     reached = [True] + [False] * len(name)
@@ -58,65 +53,73 @@ def written_together(name: str, counts: dict[str, int]) -> bool:
     return reached[-1]
 
 
-class Segmenter:
-    """Splits names that are written together into the most probable words of a unigram model."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
-        self.cost = {w: -math.log(n / total) for w, n in counts.items()}
-        # An unseen word costs as much as one seen less than once, and a tenth as much again for each further letter.
-        self.unseen = math.log(total * 10)
-        self.cache: dict[str, tuple[str, ...]] = {}
-
-    def split(self, name: str) -> tuple[str, ...]:
-        if name not in self.cache:
-            if len(self.cache) > MOST_WORDS:
-                self.cache.clear()
-            best, back = [0.0], [0]
-            for end in range(1, len(name) + 1):
-                cost, at = min((best[a] + self.cost.get(name[a:end], self.unseen + 2.0 * (end - a)), a) for a in range(max(0, end - LONGEST), end))
-                best.append(cost)
-                back.append(at)
-            out, end = [], len(name)
-            while end:
-                out.append(name[back[end] : end])
-                end = back[end]
-            self.cache[name] = tuple(out[::-1])
-        return self.cache[name]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host but for its last label, marked by where they stand, and words of the path."""
-        own = host.rsplit(".", 1)[0] if "." in host else host
-        return [f"h:{w}" for x in _NAME.findall(own) for w in self.split(x)] + [f"p:{w}" for x in _NAME.findall(path.lower()) for w in self.split(x)]
-
-
-class NaiveBayes:
-    """Multinomial naive Bayes with Laplace smoothing over the classes allow and block."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]], pages: tuple[int, int]):
-        totals = [sum(c[k] for c in counts.values()) + len(counts) + 1 for k in (0, 1)]
-        self.weight = {t: math.log((c[1] + 1) / totals[1]) - math.log((c[0] + 1) / totals[0]) for t, c in counts.items()}
-        self.unseen = math.log(1 / totals[1]) - math.log(1 / totals[0])
-        self.prior = math.log((pages[1] + 1) / (pages[0] + 1))
-
-    def score(self, tokens: list[str]) -> float:
-        """Log odds of block against allow."""
-        return self.prior + sum(self.weight.get(t, self.unseen) for t in tokens)
-
-
-def _per_row(urls: DataFrame, kind: str, name: str, result: pa.DataType, make) -> DataFrame:
-    """Adds a column that a Python function of (host, path) gives, made once a task."""
-    fields = [*urls.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", {name} {kind}"
-    host, path = urls.columns.index("host"), urls.columns.index("path")
+def split(name: str, counts: dict[str, int], total: int) -> list[str]:
+    """Splits a name that is written together into the most probable words of a unigram model.
+
+    counts: those of the model's words that stand in the name; total: of all the model's words.
+    """
+    # An unseen word costs as much as one seen less than once, and a tenth as much again for each further letter.
+    unseen = math.log(total * 10)
+    cost = {w: -math.log(n / total) for w, n in counts.items()}
+    best, back = [0.0], [0]
+    for end in range(1, len(name) + 1):
+        least, at = min((best[a] + cost.get(name[a:end], unseen + 2.0 * (end - a)), a) for a in range(max(0, end - LONGEST), end))
+        best.append(least)
+        back.append(at)
+    out, end = [], len(name)
+    while end:
+        out.append(name[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def _parts(names: DataFrame) -> DataFrame:
+    """(w, n, part): each name with every string of 2 to LONGEST letters in it, once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
         for batch in batches:
-            found = [f(h, p) for h, p in zip(batch.column(host).to_pylist(), batch.column(path).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, result)], names=[*(x.name for x in fields), name])
+            rows = []
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [(w, n, x) for x in {w[a:b] for a in range(len(w) - 1) for b in range(a + 2, min(len(w), a + LONGEST) + 1)}]
+                if len(rows) >= 20_000:
+                    yield _table(rows)
+                    rows = []
+            if rows:
+                yield _table(rows)
+
+    def _table(rows: list[tuple]) -> pa.RecordBatch:
+        w, n, part = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(part, pa.string())], names=["w", "n", "part"])
+
+    return names.select("w", "n").mapInArrow(work, "w string, n bigint, part string")
+
+
+def _per_name(names: DataFrame, kind: str, result: pa.DataType, f) -> DataFrame:
+    """(w, made): what a function of (name, its count, counts of words in it) gives; names: w, n, own (part, m)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, n, own = (c.to_pylist() for c in batch.columns)
+            found = [f(x, k, {q["part"]: q["m"] for q in o or ()}) for x, k, o in zip(w, n, own, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, result)], names=["w", "made"])
+
+    return names.select("w", "n", "own").mapInArrow(work, f"w string, made {kind}")
+
 
-    return urls.mapInArrow(work, schema)
+def split_names(counts: DataFrame, seeds=SEED_BLOCK) -> DataFrame:
+    """(w, pieces): every name of (w, n) and every seed, split by the unigram model that they form."""
+    typical = counts.agg(F.max("n")).first()[0] or 1
+    more = counts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, seeds)).cast("array<string>")).alias("w"), F.lit(typical).cast("bigint").alias("n"))
+    unigrams = settle(counts.union(more).groupBy("w").agg(F.sum("n").alias("n")), "url-unigrams")
+    inside = settle(_parts(unigrams).join(unigrams.select(F.col("w").alias("part"), F.col("n").alias("m")), "part").select("w", "n", "part", "m"), "url-parts")
+    own = F.collect_list(F.struct("part", "m")).alias("own")
+    longer = inside.filter("length(part) > 2").groupBy("w", "n").agg(own)
+    together = _per_name(longer, "boolean", pa.bool_(), lambda w, n, parts: written_together(w, parts | {w: n})).filter("made").select("w")
+    known = settle(unigrams.filter("length(w) > 1").join(together, "w", "left_anti"), "url-known")
+    total = known.agg(F.sum("n")).first()[0] or 1
+    seen = inside.join(known.select(F.col("w").alias("part")), "part", "left_semi").groupBy("w").agg(own)
+    made = _per_name(unigrams.join(seen, "w", "left"), "array<string>", pa.list_(pa.string()), lambda w, n, parts: split(w, parts, total))
+    return settle(made.withColumnRenamed("made", "pieces"), "url-pieces")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, seeds=SEED_BLOCK, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -124,45 +127,47 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds=SEED_BLOCK, id_col: str = "p
 
     The unigram model counts the letter runs of all hosts and paths, hyphens and dots being borders, together with
     the seed words. Seed labels (a seed word among a host's hyphenated parts: block; else allow) over all pages give
-    the naive Bayes counts, so words that keep company with seeds count too. Each model holds the 200,000 most
-    frequent words. A rule's verdict goes before the model's. Null urls and urls without :// have an empty host and
-    path and are judged by the prior alone. Repeated rows repeat; other columns are ignored; an empty table gives an
-    empty result.
+    the multinomial naive Bayes counts with Laplace smoothing, so words that keep company with seeds count too. Both
+    models are whole tables, without a limit to their words: distinct names are joined to them, not pages. A rule's
+    verdict goes before the model's. Null urls and urls without :// have an empty host and path and are judged by the
+    prior alone. Repeated rows repeat; other columns are ignored; an empty table gives an empty result.
     """
-    spark = pages.sparkSession
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"))
     host, path = host_and_path(F.col("_url"))
-    urls = base.select("_id", host.alias("host"), path.alias("path"))
-
-    parts = urls.select(F.explode(F.expr("regexp_extract_all(concat(host, ' ', lower(path)), '([a-z]+)', 1)")).alias("w"))
-    top = parts.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()
-    unigrams = {r["w"]: r["n"] for r in top}
-    typical = max(unigrams.values(), default=1)
-    for w in seeds:
-        unigrams[w] = unigrams.get(w, 0) + typical
-    known = Segmenter({w: n for w, n in unigrams.items() if len(w) > 1 and not written_together(w, unigrams)})
-    splitting = spark.sparkContext.broadcast(known)
-
-    cut = _per_row(urls, "array<string>", "words", pa.list_(pa.string()), lambda: splitting.value.tokens)
-    blocked = F.arrays_overlap("words", F.array(*(F.lit(f"h:{w}") for w in seeds)))
-    labelled = cut.select("words", blocked.cast("int").alias("y"))
-    sizes = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
-    tokens = labelled.select(F.explode("words").alias("t"), "y").groupBy("t").agg(F.sum(1 - F.col("y")).alias("a"), F.sum("y").alias("b"))
-    found = tokens.orderBy(F.desc(F.col("a") + F.col("b")), "t").limit(MOST_WORDS).collect()
-    bayes = spark.sparkContext.broadcast(NaiveBayes({r["t"]: (r["a"], r["b"]) for r in found}, (sizes["n"] - sizes["y"], sizes["y"])))
-
-    def scored():
-        split, score = splitting.value.tokens, bayes.value.score
-        return lambda h, p: {"words": (t := split(h, p)), "score": score(t)}
-
-    kind = "struct<words:array<string>,score:double>"
-    out = _per_row(urls, kind, "made", pa.struct([("words", pa.list_(pa.string())), ("score", pa.float64())]), scored)
+    urls = settle(base.select("_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("_key")), "url-rows")
+
+    runs = "regexp_extract_all({}, '([a-z]+)', 1)"
+    parts = urls.select(F.explode(F.expr(runs.format("concat(host, ' ', lower(path))"))).alias("w"))
+    pieces = split_names(settle(parts.groupBy("w").agg(F.count("*").alias("n")), "url-counts"), seeds)
+
+    # Names of the host but for its last label, marked by where they stand, then names of the path.
+    own = F.expr(runs.format(r"regexp_replace(host, '[.][^.]*\\z', '')"))
+    rest = F.expr(runs.format("lower(path)"))
+    named = [F.transform(own, lambda w: F.struct(F.lit("h:").alias("side"), w.alias("w"))), F.transform(rest, lambda w: F.struct(F.lit("p:").alias("side"), w.alias("w")))]
+    names = urls.select("_key", F.posexplode(F.concat(*named)).alias("at", "name")).select("_key", "at", "name.side", "name.w")
+    bad = pieces.filter(F.arrays_overlap("pieces", F.array(*map(F.lit, seeds)).cast("array<string>"))).select("w")
+    blocked = settle(names.filter("side = 'h:'").join(bad, "w", "left_semi").select("_key", F.lit(1).alias("y")).distinct(), "url-blocked")
+    labelled = names.join(blocked, "_key", "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    distinct = labelled.groupBy("side", "w").agg(F.sum(1 - F.col("y")).alias("a"), F.sum("y").alias("b")).join(pieces, "w")
+    tokens = distinct.select("side", "w", "a", "b", F.posexplode("pieces").alias("k", "piece"))
+    tokens = settle(tokens.select("side", "w", "a", "b", "k", F.concat("side", "piece").alias("t")), "url-tokens")
+    counts = settle(tokens.groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "url-token-counts")
+    sizes = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    n_blocked = blocked.count()
+    prior = math.log((n_blocked + 1) / (urls.count() - n_blocked + 1))
+    weight = F.log((F.col("b") + 1) / F.lit(float(sizes["b"] + sizes["n"] + 1))) - F.log((F.col("a") + 1) / F.lit(float(sizes["a"] + sizes["n"] + 1)))
+    weighed = tokens.select("side", "w", "k", "t").join(counts.select("t", weight.alias("weight")), "t")
+    judged = settle(weighed.groupBy("side", "w").agg(F.array_sort(F.collect_list(F.struct("k", "t", "weight"))).alias("own")), "url-judged")
+
+    found = names.join(judged, ["side", "w"]).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("at", "own"))).alias("all"))
+    found = found.select("_key", F.flatten(F.col("all.own")).alias("all"))
+    none = F.array().cast("array<string>")
+    # Summed in the words' order, so that the score doesn't depend on the partitioning.
+    score = F.aggregate(F.coalesce(F.col("all.weight"), F.array().cast("array<double>")), F.lit(0.0), lambda x, w: x + w) + F.lit(prior)
+    out = urls.join(found, "_key", "left").select("_id", "host", "path", F.coalesce(F.col("all.t"), none).alias("words"), score.alias("score"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    by_model = F.when(F.col("made.score") > 0, "block").otherwise("allow")
-    return out.select(
-        F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_model).alias("verdict"),
-        F.col("made.words").alias("words"), F.col("made.score").alias("score"),
-    )
+    by_model = F.when(F.col("score") > 0, "block").otherwise("allow")
+    return out.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_model).alias("verdict"), "words", "score")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
