@@ -196,6 +196,42 @@ def fewest_trees(percent: int) -> int:
     return trees
 
 
+def missed(percent: int, coordinates: int, trees: int, children: int, tokens: int, depth: int) -> float:
+    """The probability that a pair at the threshold, always in nodes that branch, is in one node of no tree after depth branchings.
+
+    All trees share the coordinates: given that the pair agrees on a of them, a tree starts with one of them without
+    repetition, and a child keeps the pair if all its tokens agree. Copies of the pair in several children count.
+    """
+    out = 0.0
+    for a, p in enumerate(agreement(percent, coordinates)):
+        stays = 1.0
+        for _ in range(depth):
+            stays = 1 - (1 - (a / coordinates) ** tokens * stays) ** children
+        for j in range(max(0, trees - coordinates + a), min(trees, a) + 1):
+            out += p * comb(a, j) * comb(coordinates - a, trees - j) / comb(coordinates, trees) * (1 - stays) ** j
+    return out
+
+
+def branching(percent: int, coordinates: int, depth: int, trees: int | None = None) -> tuple[int, int, int]:
+    """Trees, children of a node and tokens of a child with the fewest copies of a row that miss MISS of pairs at most.
+
+    A tree's first level, which all rows have, weighs as much as 100 copies of the few rows in nodes that branch.
+    One token only where more don't do; no children, so that large nodes are compared whole in blocks, where nothing does.
+    """
+    least = trees or fewest_trees(percent)
+    for some in ((3, 2), (1,)):
+        fit = [
+            (t * (c**depth + 100), t, c, k)
+            for t in ((trees,) if trees else range(least, min(3 * least, coordinates) + 1))
+            for c in range(2, 7)
+            for k in some
+            if missed(percent, coordinates, t, c, k, depth) <= MISS
+        ]
+        if fit:
+            return min(fit)[1:]
+    return least, 0, 0
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
@@ -211,11 +247,11 @@ def near_duplicates(
 
     Sets are distinct shingles of ``words`` words of the whole text, with A-Z in lower case; shorter texts are one
     shingle, texts without words are empty and linked with nothing. ``trees`` independent trees start with a
-    coordinate each; unless given, their number follows from ``percent``, so that a pair at the threshold meets in one
-    with probability 1 - 1e-6 (8 trees at 85, 9 at 80, 16 at 60). A node of up to ``small`` members
-    is compared exhaustively; a larger one branches into three children, each by three coordinates its seed picks, so
-    a pair at 0.85 stays together in one of them with probability 0.94 a level and tree. What is still large after
-    ``levels`` levels is compared in blocks of ``small`` members against each other, so no cap drops a pair.
+    coordinate each, so that a pair at the threshold meets in one with probability 1 - 1e-6 at least. A node of up to
+    ``small`` members is compared exhaustively; a larger one branches into children, each by coordinates its seed
+    picks. ``branching`` chooses trees (unless given), children and coordinates a child from ``percent`` and
+    ``levels``, so that a pair at the threshold stays together in one tree with probability 1 - 1e-5 even if all its
+    nodes branch to the last level. What is still large after ``levels`` levels, or can't branch so, is compared in blocks of ``small`` members against each other, so no cap drops a pair.
     Signatures rule out pairs that agree on fewer coordinates than ``least_agreeing`` tells from ``percent``, a pair at
     the threshold with probability 1e-5 at most; all others are confirmed on full sets. Sets are only made for members
     of such pairs, and only those texts are shuffled.
@@ -227,8 +263,8 @@ def near_duplicates(
     if not 0 < percent <= 100:
         raise ValueError(f"percent must be from 1 to 100, not {percent}")
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    trees = trees or fewest_trees(percent)
-    coordinates = max(coordinates, trees)
+    coordinates = max(coordinates, trees or fewest_trees(percent))
+    trees, children, tokens = branching(percent, coordinates, levels - 1, trees)
     least = least_agreeing(percent, coordinates)
     rows = settle(sketch(docs, coordinates, id_col, text_col, False, words), "near-sketch")
     own = rows.filter("twin is not null and id is not null")
@@ -279,11 +315,12 @@ def near_duplicates(
         pairs = _compared(left.filter(F.col("size") <= small).groupBy("node").agg(F.collect_list(member).alias("own")).select("own"), kind, percent, least)
         many = left.filter(F.col("size") > small)
         more = not many.isEmpty()
-        if more and level < levels:
-            # Three levels of branching at once, three children a node: the seed of node and child picks the coordinates.
+        more_levels = level < levels and children > 0
+        if more and more_levels:
+            # As many levels of branching at once as a child has tokens: the seed of node and child picks the coordinates.
             seed = F.xxhash64("node", F.lit(level), "j")
-            tokens = [token(F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(coordinates)).cast("int")) for i in range(3)]
-            child = many.withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(F.xxhash64(seed, *tokens).alias("node"), "cid")
+            picked = [token(F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(coordinates)).cast("int")) for i in range(tokens)]
+            child = many.withColumn("j", F.explode(F.array(*map(F.lit, range(children))))).select(F.xxhash64(seed, *picked).alias("node"), "cid")
             members = shared(child, f"near-nodes-{level + 1}")
             pairs = pairs.union(pivots(members.filter(F.col("size") > small)))
         elif more:
@@ -291,7 +328,7 @@ def near_duplicates(
         fresh = confirm(pairs, f"near-{level}")
         if fresh is not None:
             roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(fresh), spark, f"near-roots-{level}")
-        if not more:
+        if not more or not more_levels:
             break
     class_root = classes.select("twin", "cid").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
     class_root = class_root.select("twin", F.coalesce("root", "cid").alias("root"))

@@ -40,3 +40,22 @@ def test_signature_bounds():
         assert sum(near_dedup.agreement(percent, 64)[:least]) <= 1e-5
         assert (1 - percent / 100) ** near_dedup.fewest_trees(percent) <= 1e-6
     assert (near_dedup.least_agreeing(85, 64), near_dedup.fewest_trees(85)) == (41, 8)  # as they were for op10
+
+
+def test_hot_nodes_keep_the_recall():
+    """The stated recall holds for pairs whose nodes all branch, to any depth; before, eight trees of three by three missed 5e-4."""
+    assert near_dedup.missed(85, 64, 8, 3, 3, 4) > 1e-4
+    for percent in (60, 80, 85, 95):
+        for depth in (0, 1, 2, 4):
+            trees, children, tokens = near_dedup.branching(percent, 64, depth)
+            assert trees >= near_dedup.fewest_trees(percent)
+            assert not children or near_dedup.missed(percent, 64, trees, children, tokens, depth) <= 1e-5
+    assert near_dedup.branching(85, 64, 4)[1] and near_dedup.branching(80, 64, 4)[1]
+
+
+def test_large_nodes_without_branching(spark):
+    """Where no branching keeps the recall, large nodes are compared in blocks."""
+    assert near_dedup.branching(30, 64, 4)[1] == 0
+    words = [f"w{i}" for i in range(54)]  # each pair has 50 of 150
+    docs = spark.createDataFrame([(k, " ".join([*words, *(f"v{k}x{i}" for i in range(50))])) for k in range(12)], "doc_id bigint, text string")
+    assert {r["component_id"] for r in near_dedup.near_duplicates(docs, percent=30, small=2).collect()} == {0}
