@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, table, text_rows
+from .common import as_bytes, settle, slices, table, text_rows
 
 # Bytes of words after lower-casing A-Z are digits, a-z and all bytes of characters beyond ASCII.
 _WORD = bytes(b"0123456789abcdefghijklmnopqrstuvwxyz") + bytes(range(0x80, 0x100))
@@ -174,10 +174,11 @@ def match_shard(bodies: list[bytes], phrases: Phrases) -> Iterator[tuple[int, li
         yield n, spans.get(d, []), sorted(x for x in items.get(d, ()) if x is not None)
 
 
-def _match_block(docs: DataFrame, items: list[tuple[int, bytes]], window: int, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
+def _match_block(rows: DataFrame, items: list[tuple[int, bytes]], window: int) -> DataFrame:
+    """For rows (id, body), their ids with n_words, spans and items."""
+    spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(items)  # BLOCK_BYTES at most
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = rows.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(shared.value, window)
@@ -185,13 +186,13 @@ def _match_block(docs: DataFrame, items: list[tuple[int, bytes]], window: int, i
         def flush(ids: list, bodies: list) -> Iterator[pa.RecordBatch]:
             found = match_shard(bodies, phrases)
             for own in ids:
-                rows = [next(found) for _ in range(len(own))]
+                made = [next(found) for _ in range(len(own))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         own,
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                        pa.array([r[0] for r in made], pa.int64()),
+                        pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in made], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                        pa.array([r[2] for r in made], pa.list_(pa.int64())),
                     ],
                     names=["id", "n_words", "spans", "items"],
                 )
@@ -209,7 +210,7 @@ def _match_block(docs: DataFrame, items: list[tuple[int, bytes]], window: int, i
         if ids:
             yield from flush(ids, bodies)
 
-    return text_rows(docs, id_col, text_col).mapInArrow(
+    return rows.mapInArrow(
         work, f"id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
     )
 
@@ -233,17 +234,22 @@ def decontaminate(
     tasks in blocks of 32 MB at most, and with more than one block the documents' spans are merged over the blocks.
 
     Null text and null items have no words; an empty benchmark hits nothing; repeated items count by their id; null
-    item ids are left out of items, though their windows hit. Repeated documents give repeated rows if one block
-    holds the benchmark, one row an id otherwise.
+    item ids are left out of items, though their windows hit. Repeated documents and null ids give a row each, however
+    many blocks the benchmark has: the blocks' spans are merged by a key of the row's own, under which texts are written
+    once to the scratch folder.
     """
     items = benchmark.select(F.col(item_id_col).cast("bigint").alias("id"), as_bytes(item_text_col).alias("body"))
     total = items.agg(F.sum(F.octet_length("body") + 16)).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK_BYTES // 2)))
 
+    # Each row under a key of its own, kept with its id: ids may repeat or be null.
+    rows = text_rows(docs, id_col, text_col)
+    if blocks > 1:
+        rows = settle(rows.select(F.struct(F.monotonically_increasing_id().alias("key"), "id").alias("id"), "body"), "decontaminate-rows")
+
     def block(k: int) -> DataFrame:
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "body"), F.lit(blocks)) == k)
-        rows = [(r[0], bytes(r[1])) for r in own.toLocalIterator()]
-        return _match_block(docs, rows, window, id_col, text_col)
+        return _match_block(rows, [(r[0], bytes(r[1])) for r in own.toLocalIterator()], window)
 
     out = block(0)
     if blocks > 1:
@@ -254,7 +260,7 @@ def decontaminate(
             CASE WHEN size(acc) > 0 AND s.start <= element_at(acc, -1).end
             THEN concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start AS start, greatest(element_at(acc, -1).end, s.end) AS end)))
             ELSE concat(acc, array(s)) END)"""
-        out = out.select("id", "n_words", F.expr(merged).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+        out = out.select("id", "n_words", F.expr(merged).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items")).withColumn("id", F.col("id.id"))
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
