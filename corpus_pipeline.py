@@ -23,10 +23,18 @@ def _without(docs: DataFrame, found: DataFrame, goes: Column) -> DataFrame:
     return without_ids(docs, "doc_id", gone)
 
 
+#: The calibrated score from which a language counts as told. Letters of no learnt language score about even between
+#: labels; of the 1,000 documents of sf0.01 with their four languages, none has less than 0.7.
+LEAST_SCORE = 0.6
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go. The label that is given isn't looked at."""
+    """Documents whose language can be told: those go whose calibrated score is below LEAST_SCORE, or that are null or
+    have no letter. Where there is no label to learn from, only the latter go."""
     model = fit_language_model(docs.filter(~held_out()))
-    return _without(docs, identify(docs, model), F.col("lang_pred") == UNDETERMINED)
+    if not model.labels:
+        return _without(docs, docs.select("doc_id", "text"), ~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return _without(docs, identify(docs, model), (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
