@@ -110,7 +110,7 @@ def hierarchy_clusters(n: int, edges: list[tuple[float, int, int]], weight: Sequ
             cluster.falls.append(node)
     chosen: set[int] = set()
     value: dict[int, float] = {}
-    for c in sorted(nodes, key=lambda c: -c.birth):
+    for c in reversed(nodes):  # a part is made after the cluster that it is part of
         inner = sum(value[id(x)] for x in c.children)
         if (c not in first or len(first) > 1) and c.stability >= inner:
             chosen.add(id(c))

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -27,7 +28,7 @@ def duck():
 
 def plain(df):
     df = df[sorted(df.columns)].astype(object)
-    return sorted(tuple("null" if x is None or x != x else f"{x:.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in df.itertuples(index=False))
+    return sorted(tuple("null" if pd.api.types.is_scalar(x) and pd.isna(x) else f"{x:.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in df.itertuples(index=False))
 
 
 OWN = catalog.queries() | scalars.queries()
@@ -56,6 +57,13 @@ def test_forest_and_noise():
     assert clusters.hierarchy_clusters(7, edges, [1.0] * 7, 2.0) == [1, 1, 1, 2, 2, 2, 0]
 
 
+def test_tied_merges():
+    """Pairs at distance 1, joined at 2: clusters and their parts come about at one density."""
+    edges = [(1.0, 0, 1), (1.0, 2, 3), (1.0, 4, 5), (1.0, 6, 7), (2.0, 1, 2), (2.0, 3, 4), (2.0, 5, 6)]
+    assert clusters.hierarchy_clusters(8, edges, [1.0] * 8, 2.0) == [1, 1, 2, 2, 3, 3, 4, 4]
+    assert clusters.hierarchy_clusters(4, [(0.0, 0, 1), (0.0, 1, 2), (0.0, 2, 3)], [1.0] * 4, 2.0) in ([0] * 4, [1, 1, 2, 2])
+
+
 def test_trees():
     a, b = {"x": [1, 2, 3], "y": 1}, {"x": [1, 3], "z": 2}
     assert trees.size(a) == 6 and trees.common(a, b) == 4 and trees.distance(a, b) == 3
