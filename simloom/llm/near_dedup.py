@@ -5,9 +5,10 @@ trees branches the classes: a node's seed chooses coordinates of the documents'
 to the child named by its token there. Nodes that are small are compared exhaustively; large ones branch on. All trees
 are one table (node, class), and a level of all trees is one shuffle.
 
-Two things keep nodes with many near copies linear. Every node first compares its members with two pivots only; the
-links found so far are contracted to components, and a node whose members all belong to one component is closed, as
-nothing in it can change the result. Small nodes then compare members of different components only.
+Nothing is ever a row a pair. A node's members meet in one task: first by signature and size alone, which leaves the
+members that may have a partner; then with their full sets, where likely pairs are confirmed and only the links of a
+spanning forest leave the task, fewer than members. Links found so far are contracted to components; pairs of one
+component, pairs that an earlier tree has compared, and nodes with a single component are passed over.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import only_ids, settle, slices, table, text_rows
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Entries of a worker's cache from words to hashes.
 CACHE = 100_000
+#: Hashes of full sets that meet in a task (8 bytes each); nodes with more are compared in blocks of half as many.
+HELD = 2 << 20
 
 
 class _WordHashes(dict):
@@ -119,57 +122,109 @@ def components(links: DataFrame, spark: SparkSession, name: str) -> DataFrame:
         before = after
 
 
-def _agreeing(pairs: DataFrame, kind: str, least: int) -> DataFrame:
-    """Pairs (a, b, sa, sb) whose signatures agree on at least so many coordinates."""
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+    """Batches that hold whole nodes, with each node's rows [a, b); rows come sorted by node."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.int32).reshape(batch.num_rows, -1) for c in batch.columns[2:4])
-            keep = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+    def cut(batch: pa.RecordBatch) -> list[int]:
+        return [0, *(np.flatnonzero(np.diff(batch.column("node").to_numpy())) + 1).tolist(), batch.num_rows]
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(work, f"a {kind}, b {kind}")
+    tail = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if tail is not None:
+            batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+        ends = cut(batch)
+        yield batch, list(zip(ends[:-2], ends[1:-1], strict=True))
+        tail = batch.slice(ends[-2])
+    if tail is not None:
+        yield tail, [(0, tail.num_rows)]
 
 
-def _compared(nodes: DataFrame, kind: str, percent: int, least: int) -> DataFrame:
-    """Pairs (a, b) of members of one node, of different components, whose sizes allow a link and whose signatures
-    agree on at least so many coordinates. A node comes as a list of its members."""
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own in batch.column(0):
-                own = own.values
-                ids, n, root = own.field("cid"), own.field("n").to_numpy(), own.field("root").to_numpy(zero_copy_only=False)
-                sig = np.frombuffer(b"".join(own.field("sig").to_pylist()), np.int32).reshape(len(n), -1)
-                first, second = [], []
-                for i in range(len(n) - 1):
-                    may = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
-                    at = np.flatnonzero(may) + i + 1
-                    at = at[(sig[at] == sig[i]).sum(axis=1) >= least] if len(at) else at
-                    first += [i] * len(at)
-                    second += at.tolist()
-                if first:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), ids.take(pa.array(second))], names=["a", "b"])
-
-    return nodes.mapInArrow(work, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def _verified(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Pairs (a, b, xa, xb) with 100 * intersection >= percent * union of their full sets."""
+
+class _Members:
+    """What is compared of some rows: sizes, components, sides, signatures and trees in which pairs have met."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.n, self.root, self.side, self.trees, self.seen = (_numbers(batch.column(c)) for c in ("n", "root", "side", "trees", "seen"))
+        self.sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.int32).reshape(batch.num_rows, -1)
+
+    def partners(self, a: int, b: int, percent: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For rows of the node [a, b), its later rows that may be linked: of another component and, in a node of two
+        sides, of the other side; sizes and signatures allow it; no small node of an earlier tree has both."""
+        n, root, side, sig, trees = self.n[a:b], self.root[a:b], self.side[a:b], self.sig[a:b], int(self.trees[a])
+        met = (self.seen[a:b, None] >> np.arange(trees) & 1).astype(bool)
+        two = side.min() != side.max()
+        for i in range(len(n) - 1):
+            may = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
+            if two:
+                may &= side[i + 1 :] != side[i]
+            at = np.flatnonzero(may) + i + 1
+            if len(at):
+                same = sig[at] == sig[i]
+                fits = same.sum(axis=1) >= least
+                if trees:
+                    fits &= ~(same[:, :trees] & met[i]).any(axis=1)
+                at = at[fits]
+                if len(at):
+                    yield i, at
+
+
+MEMBER = "node bigint, cid {kind}, n bigint, root bigint, side int, trees int, seen bigint, sig binary"
+
+
+def _likely(members: DataFrame, kind: str, percent: int, least: int) -> DataFrame:
+    """The members of nodes that may have a partner in their node."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+        for batch, nodes in _whole_nodes(batches):
+            rows, keep = _Members(batch), np.zeros(batch.num_rows, bool)
+            for a, b in nodes:
+                for i, at in rows.partners(a, b, percent, least):
+                    keep[a + i] = True
+                    keep[a + at] = True
+            if keep.any():
+                yield batch.filter(pa.array(keep))
 
-    return pairs.select("a", "b", "xa", "xb").mapInArrow(work, f"a {kind}, b {kind}")
+    return members.repartition("node").sortWithinPartitions("node").mapInArrow(work, MEMBER.format(kind=kind))
+
+
+def _linked(members: DataFrame, kind: str, percent: int, least: int) -> DataFrame:
+    """Links (a, b) that connect what is linked in a node: 100 * intersection >= percent * union of full sets (set)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, nodes in _whole_nodes(batches):
+            rows, first, second = _Members(batch), [], []
+            for a, b in nodes:
+                own = [np.frombuffer(x, np.uint64) for x in batch.column("set")[a:b].to_pylist()]
+                ends = np.cumsum([0, *map(len, own)])
+                token = np.unique(np.concatenate(own), return_inverse=True)[1]
+                n, part = np.diff(ends), np.unique(rows.root[a:b], return_inverse=True)[1]
+                mark = np.zeros(int(token.max()) + 1, np.int64)
+                for i, at in rows.partners(a, b, percent, least):
+                    at = at[part[at] != part[i]]
+                    if not len(at):
+                        continue
+                    mark[token[ends[i] : ends[i + 1]]] = 1
+                    if 4 * len(at) > b - a:
+                        both = np.add.reduceat(mark[token], ends[:-1])[at]
+                    else:
+                        both = np.array([mark[token[ends[j] : ends[j + 1]]].sum() for j in at.tolist()])
+                    mark[token[ends[i] : ends[i + 1]]] = 0
+                    for j in at[100 * both >= percent * (n[i] + n[at] - both)].tolist():
+                        if part[j] != part[i]:
+                            first.append(a + i)
+                            second.append(a + j)
+                            part[part == part[j]] = part[i]
+            if first:
+                ids = batch.column("cid")
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), ids.take(pa.array(second))], names=["a", "b"])
+
+    members = members.repartition("node").sortWithinPartitions("node").select("node", "cid", "n", "root", "side", "trees", "seen", "sig", "set")
+    return members.mapInArrow(work, f"a {kind}, b {kind}")
 
 
 #: The share of pairs just at the threshold that signatures may rule out.
@@ -238,8 +293,8 @@ def near_duplicates(
     words: int = 5,
     trees: int | None = None,
     coordinates: int = 64,
-    small: int = 256,
-    levels: int = 5,
+    small: int = 2048,
+    levels: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -251,10 +306,11 @@ def near_duplicates(
     ``small`` members is compared exhaustively; a larger one branches into children, each by coordinates its seed
     picks. ``branching`` chooses trees (unless given), children and coordinates a child from ``percent`` and
     ``levels``, so that a pair at the threshold stays together in one tree with probability 1 - 1e-5 even if all its
-    nodes branch to the last level. What is still large after ``levels`` levels, or can't branch so, is compared in blocks of ``small`` members against each other, so no cap drops a pair.
-    Signatures rule out pairs that agree on fewer coordinates than ``least_agreeing`` tells from ``percent``, a pair at
-    the threshold with probability 1e-5 at most; all others are confirmed on full sets. Sets are only made for members
-    of such pairs, and only those texts are shuffled.
+    nodes branch to the last level. What is still large after ``levels`` levels, or can't branch so, is compared in
+    blocks of ``small`` / 2 members against each other, so no cap drops a pair. Signatures rule out pairs that agree on
+    fewer coordinates than ``least_agreeing`` tells from ``percent``, a pair at the threshold with probability 1e-5 at
+    most; all others are confirmed on full sets. Sets are only made for members of such pairs, and only those texts are
+    shuffled; a task holds 2M hashes of them at most, or two documents.
 
     Returns one row per input row: ``id_col``, n_shingles, component_id (smallest id of the component), kept
     (``id_col`` = component_id). Rows with a null id get their n_shingles, a null component_id and kept = true: they
@@ -275,62 +331,76 @@ def near_duplicates(
         return F.substring("sig", F.lit(1) + F.lit(4) * i, F.lit(4))
 
     def shared(members: DataFrame, name: str) -> DataFrame:
-        """Members of nodes that hold two at least, with two pivots of the node, chosen by the node's seed."""
-        at = F.xxhash64("node", "cid")
-        nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min_by("cid", at).alias("p"), F.max_by("cid", at).alias("q"))
-        return settle(members.join(nodes.filter("size > 1"), "node"), name)
-
-    def pivots(members: DataFrame) -> DataFrame:
-        """The members' pairs with their pivots whose signatures agree."""
-        pairs = members.select("cid", F.explode(F.array("p", "q")).alias("pivot")).filter("cid <> pivot")
-        pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-        sig = classes.select("cid", "n", "sig")
-        both = pairs.join(sig.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-        both = both.join(sig.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-        return _agreeing(both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"), kind, least)
-
-    def confirm(pairs: DataFrame, name: str) -> DataFrame | None:
-        """Of pairs (a, b) the linked ones; None without pairs."""
-        likely = settle(pairs.distinct(), f"{name}-likely")
-        if likely.isEmpty():
+        """Members of nodes that hold two at least, with the node's size."""
+        nodes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        return settle(members.join(nodes, "node"), name)
+
+    def confirm(members: DataFrame, name: str) -> DataFrame | None:
+        """Links among the members of each node (rows of MEMBER); None without likely ones."""
+        likely = settle(_likely(members, kind, percent, least), f"{name}-likely")
+        weights = likely.groupBy("node").agg(F.sum("n").alias("held"))
+        most = weights.agg(F.max("held")).first()[0]
+        if most is None:
             return None
-        needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        needed = likely.select(F.col("cid").alias("id")).distinct()
         texts = only_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", needed)
-        sets = settle(sketch(texts, coordinates, "id", "text", True, words).select("id", "more"), f"{name}-sets").dropDuplicates(["id"])
-        full = likely.join(sets.select(F.col("id").alias("a"), F.col("more").alias("xa")), "a")
-        full = full.join(sets.select(F.col("id").alias("b"), F.col("more").alias("xb")), "b")
-        return settle(_verified(full, kind, percent), f"{name}-links")
-
-    first = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, token(t))))
-    members = shared(classes.select(first.alias("node"), "cid"), "near-nodes-1")
-    links = confirm(pivots(members), "near-pivots")
-    none = spark.createDataFrame([], f"id {kind}, root {kind}")
-    roots = none if links is None else components(links, spark, "near-roots-0")
-    for level in range(1, levels + 1):
-        named = members.drop("p", "q").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        # A node with one component is closed.
+        sets = settle(sketch(texts, coordinates, "id", "text", True, words).select(F.col("id").alias("cid"), F.col("more").alias("set")), f"{name}-sets")
+        if most > HELD:
+            heavy = likely.join(weights, "node")
+            likely = heavy.filter(F.col("held") <= HELD).drop("held").union(_blocks(heavy.filter(F.col("held") > HELD), "held", HELD).drop("held"))
+        return settle(_linked(likely.join(sets.dropDuplicates(["cid"]), "cid"), kind, percent, least), f"{name}-links")
+
+    def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Members with their component's number; those of nodes with one component go."""
+        if roots is None:
+            return members.withColumn("root", F.xxhash64("cid"))
+        named = members.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.xxhash64(F.coalesce("root", "cid")))
         opened = named.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("node")
-        left = settle(named.join(opened, "node", "left_semi").join(classes.select("cid", "n", "sig"), "cid"), f"near-open-{level}")
-        member = F.struct("cid", "n", "root", "sig")
-        pairs = _compared(left.filter(F.col("size") <= small).groupBy("node").agg(F.collect_list(member).alias("own")).select("own"), kind, percent, least)
-        many = left.filter(F.col("size") > small)
+        return named.join(opened, "node", "left_semi")
+
+    def full(members: DataFrame) -> DataFrame:
+        """Rows of MEMBER from (node, cid, root, side, trees)."""
+        return members.join(facts, "cid").select("node", "cid", "n", "root", "side", "trees", "seen", "sig")
+
+    def contracted(roots: DataFrame | None, fresh: DataFrame | None, name: str) -> DataFrame | None:
+        if fresh is None:
+            return roots
+        return components(fresh if roots is None else roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(fresh), spark, name)
+
+    first = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(t, token(t)).alias("node"), t.alias("tree"))))
+    members = shared(classes.select(first.alias("at"), "cid").select("at.node", "at.tree", "cid"), "near-nodes-1")
+    # The trees, of the first 62, in whose small nodes a class is: all pairs there are compared.
+    small_in = F.when((F.col("size") <= small) & (F.col("tree") < 62), F.expr("shiftleft(1L, tree)")).otherwise(F.lit(0).cast("bigint"))
+    facts = settle(members.groupBy("cid").agg(F.bit_or(small_in).alias("seen")).join(classes.select("cid", "n", "sig"), "cid"), "near-facts")
+
+    # The first tree alone: its small nodes whole; its large ones in chunks, with about 8 members in all chunks, so that
+    # what is much alike is contracted before nodes branch.
+    chunks = F.ceil(2 * F.col("size") / small)
+    by_hash = F.when(F.col("size") <= small, F.array(F.lit(0).cast("bigint")))
+    by_hash = by_hash.when(F.pmod(F.xxhash64("node", "cid"), F.col("size")) < 8, F.sequence(F.lit(0).cast("bigint"), chunks - 1))
+    chunk = F.explode(by_hash.otherwise(F.array(F.pmod(F.xxhash64("cid", "node"), chunks))))
+    start = members.filter("tree = 0").withColumn("chunk", chunk)
+    start = start.select(F.xxhash64("node", "chunk").alias("node"), "cid", F.lit(0).alias("side"), F.lit(0).alias("trees"))
+    roots = contracted(None, confirm(full(rooted(start, None)), "near-0"), "near-roots-0")
+    left = rooted(members.filter(f"tree > 0 or size > {small}"), roots).withColumn("trees", F.least("tree", F.lit(62)))
+    for level in range(1, levels + 1):
+        left = settle(left.withColumn("side", F.lit(0)).select("node", "cid", "size", "root", "side", "trees"), f"near-open-{level}")
+        now, many = left.filter(F.col("size") <= small), left.filter(F.col("size") > small)
         more = not many.isEmpty()
-        more_levels = level < levels and children > 0
-        if more and more_levels:
-            # As many levels of branching at once as a child has tokens: the seed of node and child picks the coordinates.
-            seed = F.xxhash64("node", F.lit(level), "j")
-            picked = [token(F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(coordinates)).cast("int")) for i in range(tokens)]
-            child = many.withColumn("j", F.explode(F.array(*map(F.lit, range(children))))).select(F.xxhash64(seed, *picked).alias("node"), "cid")
-            members = shared(child, f"near-nodes-{level + 1}")
-            pairs = pairs.union(pivots(members.filter(F.col("size") > small)))
-        elif more:
-            pairs = pairs.union(_blocks_compared(many, kind, percent, small, least))
-        fresh = confirm(pairs, f"near-{level}")
-        if fresh is not None:
-            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(fresh), spark, f"near-roots-{level}")
-        if not more or not more_levels:
+        last = level == levels or not children
+        if more and last:
+            now = now.union(_blocks(many, "size", small))
+        roots = contracted(roots, confirm(full(now.drop("size")), f"near-{level}"), f"near-roots-{level}")
+        if not more or last:
             break
-    class_root = classes.select("twin", "cid").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
+        # As many levels of branching at once as a child has tokens: the seed of node and child picks the coordinates.
+        seed = F.xxhash64("node", F.lit(level), "j")
+        picked = [token(F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(coordinates)).cast("int")) for i in range(tokens)]
+        child = many.select("node", "cid", F.explode(F.array(*map(F.lit, range(children)))).alias("j")).join(facts.select("cid", "sig"), "cid")
+        left = shared(child.select(F.xxhash64(seed, *picked).alias("node"), "cid"), f"near-nodes-{level + 1}")
+        left = rooted(left, roots).withColumn("trees", F.lit(min(trees, 62)))
+    class_root = classes.select("twin", "cid")
+    class_root = class_root.withColumn("root", F.lit(None).cast(kind)) if roots is None else class_root.join(roots.withColumnRenamed("id", "cid"), "cid", "left")
     class_root = class_root.select("twin", F.coalesce("root", "cid").alias("root"))
     out = rows.select("id", "n", "twin").join(class_root, "twin", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "id"))
@@ -339,13 +409,13 @@ def near_duplicates(
     )
 
 
-def _blocks_compared(many: DataFrame, kind: str, percent: int, small: int, least: int) -> DataFrame:
-    """All pairs of large nodes, by pairs of blocks of about small / 2 members: what shares two blocks is a node of its own."""
-    halves = F.ceil(2 * F.col("size") / small).cast("int")
-    placed = many.withColumn("k", F.pmod(F.xxhash64("cid"), halves.cast("bigint")).cast("int"))
-    mates = F.transform(F.sequence(F.lit(0), halves - 1), lambda j: F.struct(F.least("k", j).alias("x"), F.greatest("k", j).alias("y")))
-    dealt = placed.withColumn("m", F.explode(mates)).groupBy("node", "m").agg(F.collect_list(F.struct("cid", "n", "root", "sig")).alias("own"))
-    return _compared(dealt.select("own"), kind, percent, least)
+def _blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
+    """Large nodes as nodes of two sides: the members are dealt to parts of half of `most` by their node's weight, and
+    any two parts are a node, as is each part alone."""
+    parts = F.greatest(F.lit(2), F.ceil(2 * F.col(weight) / most)).cast("int")
+    placed = members.withColumn("side", F.pmod(F.xxhash64("cid"), parts.cast("bigint")).cast("int")).withColumn("_parts", parts)
+    mates = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least("side", j).alias("x"), F.greatest("side", j).alias("y")))
+    return placed.withColumn("_m", F.explode(mates)).withColumn("node", F.xxhash64("node", "_m.x", "_m.y")).select(*members.columns)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
