@@ -25,56 +25,100 @@ from pyspark.sql import functions as F
 from .common import only_ids, settle, slices, table, text_rows
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Entries of a worker's cache from words to hashes.
-CACHE = 100_000
 #: Hashes of full sets that meet in a task (8 bytes each); nodes with more are compared in blocks of half as many.
 HELD = 2 << 20
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _WordHashes()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _M2
     h = (h ^ (h >> np.uint64(27))) * _M3
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of text that are hashed at once. A longer word is hashed by itself.
+PIECE = 1 << 20
+_PLAIN = bytes(0x20 if i in b"\x20\t\n\x0b\x0c\r" else i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
+_OF_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _M1)
+_powers: list[np.ndarray] = []
+
+
+def _weights(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number, and of its inverse modulo 2 ** 64."""
+    if not _powers:
+        for base in (int(_M3), pow(int(_M3), -1, 1 << 64)):
+            steps = np.full(PIECE + 1, base, np.uint64)
+            steps[0] = 1
+            _powers.append(np.cumprod(steps, dtype=np.uint64))
+    return _powers[0][:n], _powers[1][:n]
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of a text in lower case with spaces only, and where the words start.
+
+    A word's hash is a polynomial in its bytes, taken from the difference of two prefix sums.
+    """
+    hashes, places, at = [], [], 0
+    while at < len(text):
+        end = len(text) if at + PIECE >= len(text) else text.rfind(b" ", at, at + PIECE) + 1
+        if not end:  # no space within reach
+            end = text.find(b" ", at + PIECE)
+            end = len(text) if end < 0 else end
+            hashes.append(np.array([xxhash.xxh64_intdigest(text[at:end])], np.uint64))
+            places.append(np.array([at]))
+        else:
+            b = np.frombuffer(text, np.uint8, end - at, at)
+            gap = np.concatenate([[True], b == 0x20, [True]])
+            starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+            up, down = _weights(len(b) + 1)
+            sums = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(_OF_BYTE[b] * up[:-1], out=sums[1:])
+            hashes.append(_mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M1))
+            places.append(starts + at)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def shingle_sets(bodies: list[bytes], k: int = 5) -> list[np.ndarray]:
+    """Of each text the distinct hashed shingles of k words, ascending; of fewer words their whole sequence; none
+    without words. A-Z count as a-z; words are parted by \\x20 and \\x09-\\x0D."""
+    h, places = word_hashes(b" ".join(bodies).translate(_PLAIN))
+    ends = np.searchsorted(places, np.cumsum([0, *(len(x) + 1 for x in bodies)]))
+
+    def folded(n: int, first: int, last: int) -> np.ndarray:
+        out = np.full(last - first, n, np.uint64)
+        for i in range(n):  # the words' hashes are mixed already
+            out = out * _M1 + h[first + i : last + i]
+        return _mix(out)
+
+    whole = folded(k, 0, max(0, len(h) - k + 1))
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out.append(np.unique(whole[a : b - k + 1]) if b - a >= k else folded(b - a, a, a + 1) if b > a else np.empty(0, np.uint64))
+    return out
+
+
 def shingles(body: bytes, k: int = 5) -> np.ndarray:
-    """Distinct hashed shingles of k words, ascending; of fewer words their whole sequence; none without words."""
-    found = body.lower().split()  # bytes: A-Z alone change, and white space is \\x20 and \\x09-\\x0D
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
-    n = min(k, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = _mix((out + h[i : len(h) - n + 1 + i]) * _M1)
-    return np.unique(out)
+    return shingle_sets([body], k)[0]
 
 
 def _coordinates(size: int) -> np.ndarray:
-    return _mix(np.arange(1, size + 1, dtype=np.uint64) * _M1)
+    return (_mix(np.arange(1, size + 1, dtype=np.uint64) * _M1) >> np.uint64(32)).astype(np.uint32)
 
 
 def signature(own: np.ndarray, salts: np.ndarray) -> np.ndarray:
     """The minwise token of each coordinate, as 32 bits of its mixed hash."""
-    out = np.empty(len(salts), np.int32)
-    for a in range(0, len(salts), 16):
-        h = own[:, None] ^ salts[None, a : a + 16]
-        h *= _M2
-        h ^= h >> np.uint64(29)
-        h *= _M3
-        out[a : a + 16] = (h >> np.uint64(32)).min(axis=0).astype(np.uint32).view(np.int32)
-    return out
+    x, out = (own >> np.uint64(32)).astype(np.uint32), np.empty(len(salts), np.uint32)
+    step = max(1, (1 << 16) // len(x))
+    for a in range(0, len(salts), step):
+        h = x[None, :] ^ salts[a : a + step, None]
+        h *= np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA77)
+        h ^= h >> np.uint32(13)
+        h.min(axis=1, out=out[a : a + step])
+    return out.view(np.int32)
 
 
 def sketch(docs: DataFrame, coordinates: int, id_col: str, text_col: str, with_sets: bool, k: int = 5) -> DataFrame:
@@ -84,8 +128,8 @@ def sketch(docs: DataFrame, coordinates: int, id_col: str, text_col: str, with_s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = _coordinates(coordinates)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                sets = [shingles(x, k) for x in batch.column(1)[a:b].to_pylist()]
+            for a, b in slices(batch.column(1), PIECE):
+                sets = shingle_sets(batch.column(1)[a:b].to_pylist(), k)
                 n = pa.array([len(x) for x in sets], pa.int64())
                 twins = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
                 if with_sets:
