@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,12 @@ from .common import settle, slices, table, text_rows
 
 #: Words in the code book at most: the most frequent ones. Rarer words are folded where they stand.
 BOOK = 500_000
-#: Words of more bytes are split by one row of Python instead, whose time doesn't grow with the square of the length.
-FOLDED_BYTES = 64
+#: Words of more bytes are split by a heap in Python instead: the fold's time grows with the square of the length.
+FOLDED_BYTES = 256
 #: Entries of a worker's cache from pieces of text to ids.
 CACHE = 80_000
 #: Distinct pieces that a task counts before it passes its counts on.
-COUNTED = 400_000
+COUNTED = 200_000
 
 
 @cache
@@ -37,8 +38,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 # --- the fold, in Spark's higher-order functions -------------------------------------------------------------------
 
-#: Bits of an id in the packed rank map, and more pieces than a word has.
-ID_BITS, MOST = 20, 1000
+#: Bits of an id and of a place in packed numbers, and more pieces than a word has.
+ID_BITS, PLACE_BITS, MOST = 18, 9, 1 << 30
 
 
 def _let(value: Column, body) -> Column:
@@ -48,22 +49,49 @@ def _let(value: Column, body) -> Column:
 
 @dataclass
 class RankMap:
-    """Ranks of pairs of ids as literals, laid out so that a look-up takes two array accesses.
+    """Ranks of pairs of ids as two literal arrays, laid out so that a look-up takes two accesses.
 
-    Spark looks a key up in a map literal by going through its keys, so the map is a perfect hash table: the pair's
-    first hash gives a shift, its second hash plus the shift the only slot where it can be. A slot holds the pair and
-    the rank of the merged piece, which is its id.
+    Spark looks a key up in a map literal by going through its keys. Here the left id gives a shift, and the shift plus
+    the right id is the only slot where the pair can be: the sparse table of ranks by left and right id, its rows laid
+    over each other. A slot holds the left id and the rank of the merged piece, which is its id.
     """
 
     shift: Column
     slots: Column
-    n_shift: int
-    n_slots: int
     of_byte: Column
-
-    def hashes(self, key) -> tuple:
-        """Alike for columns and arrays."""
-        return key % self.n_shift, key % self.n_slots
+    edge: int
+
+
+def lay_rows(found: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shift of each left id up to the edge, and the slots, of pairs (left, right, rank). Long rows come first."""
+    a, b, rank = found.T
+    step = 4096
+    size = step * (1 + 3 * len(found) // step)
+    slots, shift, rng = np.full(size + edge + 1, (1 << 2 * ID_BITS) - 1, np.int64), np.zeros(edge + 1, np.int64), np.random.default_rng(5)
+    order = np.argsort(a, kind="stable")
+    rows = np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(order) else []
+    taken = np.zeros(len(slots), bool)
+    for own in sorted(rows, key=len, reverse=True):
+        places = b[own]
+        for k in range(64):  # single shifts for short rows, then ranges of them
+            if len(own) <= 8 and k < 8:
+                at = int(rng.integers(size))
+                if not taken[at + places].any():
+                    break
+                continue
+            low = int(rng.integers(size // step)) * step
+            hit = np.zeros(step, bool)
+            for x in places.tolist():
+                hit |= taken[low + x : low + x + step]
+            if not hit.all():
+                at = low + int(np.flatnonzero(~hit)[0])
+                break
+        else:
+            raise ValueError("the ranks find no place")
+        taken[at + places] = True
+        shift[a[own[0]]] = at
+        slots[at + places] = a[own] << ID_BITS | rank[own]
+    return shift, slots
 
 
 def rank_map(ranks: dict[bytes, int]) -> RankMap:
@@ -73,37 +101,15 @@ def rank_map(ranks: dict[bytes, int]) -> RankMap:
             left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
             if left is not None and right is not None:
                 found.append((left, right, rank))
-    a, b, rank = np.array(found, np.int64).reshape(-1, 3).T
-    size = max(16, 1 << (2 * len(found)).bit_length())
-
-    def modulus(n: int) -> int:
-        """The next odd number down under which the left id's unit spreads well."""
-        while n % 2 == 0 or not n < 4 * ((1 << ID_BITS) % n) < 3 * n:
-            n -= 1
-        return n
-
-    out = RankMap(F.lit(0), F.lit(0), modulus(size // 4), modulus(size), F.lit(0))
-    first, second = out.hashes(a << ID_BITS | b)
-    packed = (a << ID_BITS | b) << ID_BITS | rank
-    slots, shift, rng = np.full(out.n_slots, -1, np.int64), np.zeros(out.n_shift, np.int64), np.random.default_rng(5)
-    order = np.argsort(first, kind="stable")
-    groups = np.split(order, np.flatnonzero(np.diff(first[order])) + 1) if len(order) else []
-    for own in sorted(groups, key=len, reverse=True):
-        for _ in range(100_000):
-            at = (second[own] + (d := int(rng.integers(out.n_slots)))) % out.n_slots
-            if (slots[at] < 0).all() and len(set(at.tolist())) == len(at):
-                break
-        else:
-            raise ValueError("two pairs share both hashes")
-        shift[first[own[0]]] = d
-        slots[at] = packed[own]
+    edge = max(ranks.values(), default=0) + 1
+    if edge >= (1 << ID_BITS) - 1:
+        raise ValueError(f"ids up to {(1 << ID_BITS) - 3} only")
+    shift, slots = lay_rows(np.array(found, np.int64).reshape(-1, 3), edge)
 
     def literal(values, kind: str) -> Column:
         return F.from_json(F.lit(json.dumps([int(x) for x in values])), f"array<{kind}>")
 
-    out.shift, out.slots = literal(shift, "int"), literal(slots, "bigint")
-    out.of_byte = literal([ranks[bytes([i])] for i in range(256)], "int")
-    return out
+    return RankMap(literal(shift, "int"), literal(slots, "bigint"), literal([ranks[bytes([i])] for i in range(256)], "int"), edge)
 
 
 def piece_list(ranks: dict[bytes, int]) -> Column:
@@ -124,39 +130,46 @@ def fold_merges(words: Column, ranks: RankMap) -> Column:
     """Ids of each word of an array of byte arrays (as ids of single bytes).
 
     A step merges, of all neighbours that form a ranked piece, the first of the lowest rank; a word of n bytes takes
-    n - 1 steps at most.
+    n - 1 steps at most, and has FOLDED_BYTES at most. The state is one array. An entry holds, from its low bits up, a
+    piece's id, its place, and the rank of the pair that it forms with the next piece, or a larger number if it forms
+    none. So the least entry is the next pair to merge.
     """
+    id_mask, own = (1 << ID_BITS) - 1, ID_BITS + PLACE_BITS
 
     def fold(word: Column, shift: Column, slots: Column) -> Column:
-        def rank(a: Column, b: Column) -> Column:
-            """Rank of the piece that two neighbours form; null if they form none."""
-
-            def look_up(key: Column) -> Column:
-                first, second = ranks.hashes(key)
-                entry = F.get(slots, ((second + F.get(shift, first.cast("int"))) % ranks.n_slots).cast("int"))
-                return _let(entry - key * (1 << ID_BITS), lambda x: F.when((x >= 0) & (x < (1 << ID_BITS)), x.cast("int")))
-
-            return _let(a.cast("bigint") * (1 << ID_BITS) + b, look_up)
-
-        def step(acc: Column) -> Column:
-            p, r = acc["p"], acc["r"]
-
-            def merged(low: Column) -> Column:
-                def at_place(at: Column) -> Column:
-                    # The pieces at and at + 1 become one, and so the ranks beside it change.
-                    pieces = F.concat(F.slice(p, 1, at - 1), F.array(low), F.slice(p, at + 2, MOST))
-                    beside = F.array(rank(F.get(p, at - 2), low), rank(low, F.get(p, at + 1)))
-                    return F.struct(pieces.alias("p"), F.concat(F.slice(r, 1, at - 2), beside, F.slice(r, at + 2, MOST)).alias("r"))
-
-                return F.when(low.isNull(), acc).otherwise(_let(F.array_position(r, low).cast("int"), at_place))
-
-            return _let(F.array_min(r), merged)
+        def entry(tag: Column, a: Column, b: Column) -> Column:
+            """The entry of a piece (place and id; id) that the piece b follows."""
+            slot = F.get(slots, F.get(shift, a.cast("int")) + b.cast("int"))
+            return F.shiftleft(slot.bitwiseXOR(F.shiftleft(a, ID_BITS)), own).bitwiseOR(tag)
+
+        def merged(acc: Column, low: Column) -> Column:
+            def at_place(at: Column) -> Column:
+                # The pieces at and at + 1 become one, and so the pairs on both sides of it change.
+                def beside(piece: Column) -> Column:
+                    before = F.get(acc, at - 2)
+                    left = entry(before.bitwiseAND(F.lit((1 << own) - 1)), before.bitwiseAND(F.lit(id_mask)), piece)
+                    made = low.bitwiseAND(F.lit(((1 << PLACE_BITS) - 1) << ID_BITS)).bitwiseOR(piece)
+                    right = entry(made, piece, F.get(acc, at + 1).bitwiseAND(F.lit(id_mask)))
+                    # Three parts put together; flatten takes less time for it than concat.
+                    return F.flatten(F.array(F.slice(acc, 1, at - 2), F.array(left, right), F.slice(acc, at + 2, MOST)))
+
+                return _let(F.shiftright(low, own), beside)
+
+            return F.when(low >= 1 << own + ID_BITS, acc).otherwise(_let(F.array_position(acc, low).cast("int"), at_place))
 
         # A border on either side, which forms no piece, so that every pair has one before and one after it.
-        edge = F.array(F.lit(-1))
-        pieces = F.concat(edge, word, edge)
-        start = F.struct(pieces.alias("p"), F.zip_with(pieces, F.slice(pieces, 2, MOST), rank).alias("r"))
-        done = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda acc, _: step(acc), lambda acc: F.slice(acc["p"], 2, F.size(acc["p"]) - 2))
+        edge = F.array(F.lit(ranks.edge).cast("bigint"))
+
+        def start(pieces: Column) -> Column:
+            place = lambda i: F.shiftleft(i.cast("bigint"), ID_BITS)
+            return F.transform(F.slice(pieces, 1, F.size(word) + 2), lambda x, i: entry(x.bitwiseOR(place(i)), x, F.get(pieces, i + 1)))
+
+        done = F.aggregate(
+            F.sequence(F.lit(2), F.size(word)),
+            _let(F.concat(edge, F.transform(word, lambda x: x.cast("bigint")), edge, edge), start),
+            lambda acc, _: _let(F.array_min(acc), lambda low: merged(acc, low)),
+            lambda acc: F.transform(F.slice(acc, 2, F.size(acc) - 2), lambda x: x.bitwiseAND(F.lit(id_mask)).cast("int")),
+        )
         return F.when(F.size(word) < 2, word).otherwise(done)
 
     return _let(ranks.shift, lambda shift: _let(ranks.slots, lambda slots: F.transform(words, lambda w: fold(w, shift, slots))))
@@ -267,39 +280,74 @@ def most_frequent(words: DataFrame, most: int) -> DataFrame:
     return words.filter(F.lit(False) if least is None else F.col("n") >= least)
 
 
-class _Memo(dict):
-    """Codes of pieces that were seen: ids, and for each word left to the fold a number below -1 that leads to it."""
-
-    def __init__(self, known: dict[str, bytes], own: dict[bytes, int], find, before: str, rare: list[list[int]]):
-        super().__init__()
-        self.known, self.own, self.find, self.before, self.rare = known, own, find, before, rare
-
-    def __missing__(self, piece: str) -> bytes:
-        if piece[-1:] in (".", ",") and piece[:-1].isalpha():  # a word and a match of its own
-            out = self[piece[:-1]] + self.own[piece[-1].encode()].to_bytes(4, "little")
-            if piece[:-1] in self:
-                self[piece] = out
-            return out
-        ids, hold = [], True
-        for w in (self.before + piece,) if piece.isalpha() else self.find(self.before + piece):
-            if (got := self.known.get(w)) is not None:
-                ids.append(got)
-                continue
-            raw = w.encode()
-            if len(raw) == 1:
-                ids.append(self.own[raw].to_bytes(4, "little"))
-            elif len(raw) > FOLDED_BYTES:
-                ids.append(np.array(split_long(raw, self.own), np.int32).tobytes())
+@dataclass
+class Book:
+    """Words and their ids, in flat arrays: about 35 bytes a word."""
+
+    words: pa.Array
+    ends: np.ndarray
+    ids: bytes
+
+    @staticmethod
+    def of(folded: pa.Table) -> Book:
+        words, ids = (folded.column(c).combine_chunks() for c in ("word", "ids"))
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return Book(words, ends, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
+
+
+def _ends(sizes: list[int]) -> pa.Array:
+    return pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+
+
+class _Codes:
+    """Codes of pieces of text that all have the same before them: ids, and for each word left to the fold a number
+    below -1 that leads to it in `rare`. Pieces that hold only words of the book stay known from slice to slice."""
+
+    def __init__(self, book: Book, own: dict[bytes, int], find, before: str, rare: list[bytes]):
+        self.book, self.own, self.find, self.before, self.rare = book, own, find, before, rare
+        self.kept: dict[str, bytes] = {}
+        self.passing: list[str] = []
+
+    def of(self, texts: list[list[str]]):
+        """A function from the pieces of some texts to their codes; it holds until the next call."""
+        for piece in self.passing:
+            del self.kept[piece]
+        self.passing = []
+        seen = set().union(*texts)
+        fresh = [x for x in seen if x not in self.kept]
+        if len(self.kept) + len(fresh) > CACHE:
+            self.kept, fresh = {}, list(seen)
+        words, counts = [], []
+        for piece in fresh:
+            if piece.isalpha():  # one match, whatever stands around it
+                words.append(self.before + piece)
+                counts.append(1)
+            elif piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                words += (self.before + piece[:-1], piece[-1])
+                counts.append(2)
             else:
-                hold = False  # its number holds for the present texts only
-                self.rare.append([self.own[raw[i : i + 1]] for i in range(len(raw))])
-                ids.append((-1 - len(self.rare)).to_bytes(4, "little", signed=True))
-        out = b"".join(ids)
-        if hold:
-            if len(self) > CACHE:
-                self.clear()
-            self[piece] = out
-        return out
+                found = self.find(self.before + piece)
+                words += found
+                counts.append(len(found))
+        at = pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=self.book.words), -1).to_numpy(zero_copy_only=False)
+        low, high = (4 * self.book.ends[at]).tolist(), (4 * self.book.ends[at + 1]).tolist()
+        codes = [self.book.ids[a:b] if k >= 0 else self.other(w) for w, k, a, b in zip(words, at.tolist(), low, high, strict=True)]
+        numbered, k = at < 0, 0
+        for piece, n in zip(fresh, counts, strict=True):
+            code = self.kept[piece] = codes[k] if n == 1 else b"".join(codes[k : k + n])
+            if numbered[k : k + n].any() and (np.frombuffer(code, np.int32) < 0).any():
+                self.passing.append(piece)  # its numbers hold for these texts only
+            k += n
+        return self.kept.__getitem__
+
+    def other(self, word: str) -> bytes:
+        raw = word.encode()
+        if len(raw) == 1:
+            return self.own[raw].to_bytes(4, "little")
+        if len(raw) > FOLDED_BYTES:
+            return np.array(split_long(raw, self.own), np.int32).tobytes()
+        self.rare.append(raw)
+        return (-1 - len(self.rare)).to_bytes(4, "little", signed=True)
 
 
 def encode_documents(
@@ -323,32 +371,34 @@ def encode_documents(
     words = settle(count_words(docs, pattern, text_col).filter(F.octet_length("word").between(2, FOLDED_BYTES)), "bpe-words")
     top = most_frequent(words, book_words).select("word").repartition(4 * spark.sparkContext.defaultParallelism, "word")
     folded = settle(top.select("word", F.get(fold_merges(F.array(byte_ids(F.col("word"), mapped.of_byte)), mapped), F.lit(0)).alias("ids")), "bpe-book")
-    book = {r["word"]: np.array(r["ids"], np.int32).tobytes() for r in folded.toLocalIterator()}
-    shared = spark.sparkContext.broadcast((ranks_path, book))
+    shared = spark.sparkContext.broadcast((ranks_path, Book.of(folded.toArrow())))  # book_words at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, known = shared.value
+        path, book = shared.value
         own = load_ranks(path)
+        of_byte = np.array([own[bytes([i])] for i in range(256)], np.int32)
         find, rare = regex.compile(pattern).findall, []
-        plain, spaced = (_Memo(known, own, find, before, rare) for before in ("", " "))
+        plain, spaced = (_Codes(book, own, find, before, rare) for before in ("", " "))
         for batch in batches:
             for a, b in slices(batch.column(1), 2 << 20):
-                codes, lefts = [], []
                 rare.clear()
-                for body in batch.column(1)[a:b].to_pylist():
-                    one, other = pieces(body.decode("utf-8", "replace"))
-                    ids = np.frombuffer(b"".join(map(plain.__getitem__, one)) + b"".join(map(spaced.__getitem__, other)), np.int32)
-                    at = np.flatnonzero(ids < 0)
-                    if len(at):
-                        lefts.append([rare[-2 - k] for k in ids[at].tolist()])
-                        ids = np.maximum(ids, -1)
-                    else:
-                        lefts.append([])
-                    codes.append(ids)
-                flat = pa.array(np.concatenate(codes))
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in codes])]).astype(np.int32))
+                texts = [pieces(body.decode("utf-8", "replace")) for body in batch.column(1)[a:b].to_pylist()]
+                first, rest = plain.of([x for x, _ in texts]), spaced.of([x for _, x in texts])
+                codes = [np.frombuffer(b"".join(map(first, x)) + b"".join(map(rest, y)), np.int32) for x, y in texts]
+                ends = np.cumsum([0, *map(len, codes)])
+                flat = np.concatenate(codes)
+                at = np.flatnonzero(flat < 0)
+                left = -2 - flat[at]
+                raws = [rare[k] for k in left.tolist()]
+                ids = of_byte[np.frombuffer(b"".join(raws), np.uint8)]
+                words = pa.ListArray.from_arrays(_ends([len(x) for x in raws]), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.ListArray.from_arrays(ends, flat), pa.array(lefts, pa.list_(pa.list_(pa.int32())))], names=["id", "codes", "words"]
+                    [
+                        batch.column(0)[a:b],
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.maximum(flat, -1))),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(at, ends).astype(np.int32)), words),
+                    ],
+                    names=["id", "codes", "words"],
                 )
 
     cut = text_rows(docs, id_col, text_col).mapInArrow(work, f"id {kind}, codes array<int>, words array<array<int>>")
