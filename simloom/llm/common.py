@@ -59,6 +59,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_settled(*tables: DataFrame) -> None:
+    """Deletes tables that settle wrote, once nothing reads them any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_path(df.sparkSession, path)
+
+
 def as_bytes(text: str | Column) -> Column:
     """Text as UTF-8 bytes; null counts as empty."""
     c = F.col(text) if isinstance(text, str) else text

@@ -2,103 +2,153 @@
 
 A line's tokens are its distinct shingles of five words (the whole line if it has fewer). Tokens are put in one order
 for all lines, rarest first; two lines with a Jaccard similarity of t share a token among their first n - ceil(t n) + 1.
+
+A token is a number: in its high bits how often the rarest of its words occurs, as a power of two, which no token can
+exceed in frequency; in its low bits a hash of its words. So the order of the numbers is the order of the tokens.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only_ids, settle, table
+from .common import drop_settled, marked, only_ids, settle, table, without_ids
 
-#: Cells of the table of token counts, a fixed size. Tokens that share a cell only make the order less sharp: any order
+#: Cells of the table of word counts, a fixed size. Words that share a cell only make the order less sharp: any order
 #: that is the same for all lines gives exact results.
 CELLS = 1 << 16
+#: Low bits of a token.
+HASH_BITS = 56
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _plain(c: Column) -> Column:
+    """A-Z as a-z; `lower` does the same faster where all is ASCII."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, mark (a hash of the text, which tells rows of one id apart) and text; null text is empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, pos and words of each line of each document; lines end at line feeds. Null text is one empty line."""
-    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+def _lines(rows: DataFrame) -> DataFrame:
+    """at (id, mark, number of the line) and line of each line that has a word; lines end at line feeds. White space
+    within lines is one space each, none at the ends; A-Z are in lower case."""
+    lines = rows.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     run = "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+"  # lone spaces stay as they are
-    return lines.select("id", "pos", F.trim(F.regexp_replace("line", run, " ")).alias("line"))
+    line = _plain(F.trim(F.regexp_replace("line", run, " ")))
+    return lines.select(F.struct("id", "mark", "pos").alias("at"), line.alias("line")).filter("line <> ''")
 
 
-def _tokens(line: Column, k: int) -> Column:
-    """Distinct hashed shingles; no token for a line without words."""
+def _cell(h: Column) -> Column:
+    return F.pmod(h, F.lit(CELLS)).cast("int")
 
-    def shingled(h: Column) -> Column:
-        one = F.array(F.aggregate(h, F.lit(7).cast("bigint"), lambda acc, w: F.xxhash64(acc, w)))
-        many = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
-        return F.array_distinct(F.when(F.size(h) >= k, many).otherwise(one))
 
-    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    made = F.get(F.transform(F.array(hashes), shingled), F.lit(0))
-    return F.when(line == "", F.array().cast("array<bigint>")).otherwise(made)
+def _ranks(lines: DataFrame) -> Column:
+    """For each cell, how often its words occur in all lines, as a power of two; a literal array of CELLS numbers."""
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).select(_cell(F.xxhash64("w")).alias("cell"))
+    found = {r["cell"]: r["n"] for r in words.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS at most
+    return F.from_json(F.lit(json.dumps([int(found.get(i, 1)).bit_length() for i in range(CELLS)])), "array<int>")
+
+
+def _tokens(line: Column, k: int, ranks: Column) -> Column:
+    """A line's tokens, ascending."""
+    low = F.lit((1 << HASH_BITS) - 1)
+
+    def word(w: Column) -> Column:
+        return _let(F.xxhash64(w), lambda h: F.shiftleft(F.get(ranks, _cell(h)).cast("bigint"), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))
+
+    def token(own: Column) -> Column:
+        return F.array_min(own).bitwiseAND(F.lit(~((1 << HASH_BITS) - 1))).bitwiseOR(F.xxhash64(own).bitwiseAND(low))
+
+    def shingled(words: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: _let(F.slice(words, i, k), token))
+        return F.when(F.size(words) > k, F.sort_array(F.array_distinct(many))).otherwise(F.array(token(words)))
+
+    return _let(F.transform(F.split(line, " "), word), shingled)
 
 
 def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes every line that has an earlier one, by (id, line number), with 100 * intersection >= percent * union.
 
-    Equal lines (but for case and white space) fold into one class with its first place. Token counts over all
-    lines, in a table of a fixed size, give the order; the prefix rows are joined on the token, with the length and
-    positional filters in the join; what is left is verified on full sets, made anew for those lines alone.
+    Equal lines (but for the case of A-Z and for white space) fold into one class with its first place. Counts of all
+    words, in a table of a fixed size, give the order; the prefix rows are joined on the token, with the length and
+    positional filters in the join; what is left is verified on full sets, made anew for those lines alone. Only texts
+    that lose lines are shuffled.
 
     Returns one row per input row: ``id_col``, n_lines, n_removed and kept (the lines that stay, joined by line feeds).
-    Lines without words always stay. Null text has one empty line. Rows that share an id and a text are told apart
-    neither from each other, so all of them keep a first line; null ids come first. Other columns are ignored.
+    Lines without words always stay. Null text has one empty line. Rows that share an id are in the order of a hash of
+    their texts; those that share the text too can't be told apart, so all of them keep what the first keeps. Null ids
+    come first. A very long line is one row with as many tokens. Other columns are ignored; no rows give no rows.
     """
-    lines = _lines(docs, id_col, text_col)
+    rows = _rows(docs, id_col, text_col)
+    lines = _lines(rows)
+    ranks = _ranks(lines)
     key = F.unhex(F.md5("line"))
-    tokens = _tokens(F.col("line"), words)
-    full = lines.filter("line <> ''").select("id", "pos", "line", key.alias("key"))
-    cells = full.select(F.explode(tokens).alias("t")).groupBy(F.pmod("t", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    cells = settle(cells, "line-cells")
-    mean = F.greatest(F.lit(1.0), F.sum("n").over(Window.partitionBy()) / CELLS)
-    # How many times the mean a cell holds, as a power of two: 0 for all but the common ones.
-    common = cells.select("cell", F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / mean))).cast("int").alias("c"))
-    every = docs.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(common, "cell", "left").na.fill(0, ["c"])
-    ranks = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "c"))), lambda e: e["c"]).alias("rank"))  # CELLS rows
-    ranks = settle(ranks, "line-ranks")
-
-    ordered = F.transform(
-        F.array_sort(F.transform(tokens, lambda t: F.struct(F.get("rank", F.pmod(t, F.lit(CELLS)).cast("int")).alias("r"), t.alias("t")))), lambda e: e["t"]
-    )
     n = F.size("tokens")
     reach = n - F.ceil(n * percent / 100).cast("int") + 1
     # Only the prefix of a line's tokens goes through the shuffle that folds equal lines, not its text.
-    sets = full.crossJoin(F.broadcast(ranks)).select("id", "pos", "key", ordered.alias("tokens"))  # one row of CELLS numbers
-    sets = sets.select("id", "pos", "key", n.alias("n"), F.slice("tokens", 1, reach).alias("prefix"))
-    first = settle(sets.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-classes")
-    twice = settle(first.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("rows")).filter("rows > 1").select("t"), "line-twice")
+    sets = lines.select("at", key.alias("key"), _tokens(F.col("line"), words, ranks).alias("tokens"))
+    sets = sets.select("at", "key", n.alias("n"), F.slice("tokens", 1, reach).alias("prefix"))
+    some = F.struct("at", "n", "prefix")  # equal lines have equal tokens
+    first = sets.groupBy("key").agg(F.min(some).alias("own"), F.count("*").alias("copies"))
+    first = settle(first.select("key", "own.*", "copies"), "line-classes")
+    twice = settle(first.select(F.explode("prefix").alias("id")).groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"), "line-twice")
     prefix = first.select("key", "at", "n", F.posexplode("prefix").alias("i", "t"))
-    shared = settle(only_ids(prefix, "t", twice.withColumnRenamed("t", "id")), "line-shared")
+    shared = settle(only_ids(prefix, "t", twice), "line-shared")
     a = shared.select("t", *(F.col(c).alias(f"a_{c}") for c in ("key", "at", "n", "i")))
     b = shared.select("t", *(F.col(c).alias(f"b_{c}") for c in ("key", "at", "n", "i")))
     # A common token at places i and j leaves at most the lesser rest on either side.
-    most = F.least("a_i", "b_i") + 1 + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) - 1
+    most = F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
     pairs = a.join(b, "t").filter(
         (F.col("a_at") < F.col("b_at"))
         & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
         & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
     )
     pairs = settle(pairs.select("a_key", "b_key").distinct(), "line-pairs")
+    drop_settled(twice, shared)
     asked = pairs.select(F.explode(F.array("a_key", "b_key")).alias("id")).distinct()
-    whole = settle(only_ids(full.select("key", "line"), "key", asked).dropDuplicates(["key"]).select("key", tokens.alias("tokens")), "line-sets")
+    texts = only_ids(lines.select(key.alias("key"), "line"), "key", asked).dropDuplicates(["key"])
+    whole = settle(texts.select("key", _tokens(F.col("line"), words, ranks).alias("tokens")), "line-sets")
     both = pairs.join(whole.select(F.col("key").alias("a_key"), F.col("tokens").alias("x")), "a_key")
     both = both.join(whole.select(F.col("key").alias("b_key"), F.col("tokens").alias("y")), "b_key")
-    common_n = F.size(F.array_intersect("x", "y"))
-    later = both.filter(100 * common_n >= percent * (F.size("x") + F.size("y") - common_n)).select(F.col("b_key").alias("key")).distinct()
-
-    # A line stays where its class is first, unless the class follows a similar one.
-    stays = first.select("key", "at").join(later, "key", "left_anti").select("at.id", "at.pos", F.lit(True).alias("stays"))
-    keep = settle(stays.groupBy("id").agg(F.collect_set("pos").alias("own")), "line-stays")
-    rows = docs.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n").alias("lines"))
-    rows = rows.join(keep, rows["id"].eqNullSafe(keep["id"]), "left").select(rows["id"], "lines", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
-    mapped = F.map_from_arrays("own", "own")
-    bare = F.filter("lines", lambda x, i: F.map_contains_key(mapped, i) | ~x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = rows.select("id", F.size("lines").cast("bigint").alias("n_lines"), bare.alias("left"))
-    return out.select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("left")).alias("n_removed"), F.array_join("left", "\n").alias("kept"))
+    common = F.size(F.array_intersect("x", "y"))
+    later = both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("b_key").alias("key"), F.lit(True).alias("later")).distinct()
+
+    # A line goes where its class is not first, or follows a similar one.
+    goes = first.join(later, "key", "left").filter("copies > 1 or later").select("key", "later", F.col("at").alias("first"))
+    goes = settle(goes, "line-goes")
+    drop_settled(pairs, whole)
+    keyed = marked(lines.select("at", key.alias("key")), "key", goes.select(F.col("key").alias("id"))).filter("_hit").drop("_hit")
+    gone = keyed.join(goes, "key").filter("later or at <> first").select("at")
+    gone = settle(gone.groupBy("at.id", "at.mark").agg(F.collect_set("at.pos").alias("gone")), "line-gone")
+    drop_settled(first)
+    split = rows.withColumn("row", F.struct("id", "mark"))
+    ids = gone.select(F.struct("id", "mark").alias("id"))
+    clean = without_ids(split, "row", ids).select("id", "text", F.array().cast("array<int>").alias("gone"))
+    cut = only_ids(split, "row", ids).join(gone.select(F.struct("id", "mark").alias("row"), "gone"), "row").select("id", "text", "gone")
+
+    def finished(found: DataFrame) -> DataFrame:
+        parts = F.split("text", "\n")
+        out = found.select("id", F.size(parts).cast("bigint").alias("n_lines"), "text", parts.alias("lines"), F.sort_array("gone").alias("gone"))
+        # What lies between the lines that go.
+        between = F.zip_with(
+            F.concat(F.array(F.lit(-1)), "gone"), F.concat("gone", F.array(F.col("n_lines").cast("int"))), lambda a, b: F.slice("lines", a + 2, b - a - 1)
+        )
+        kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.flatten(between), "\n"))
+        return out.select(F.col("id").alias(id_col), "n_lines", F.size("gone").cast("bigint").alias("n_removed"), kept.alias("kept"))
+
+    return finished(clean).union(finished(cut))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +162,7 @@ WITH l AS (
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents
 ), w AS (
-  SELECT doc_id, pos, raw, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line
+  SELECT doc_id, pos, raw, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line
   FROM l
 ), c AS (
   SELECT line, min((doc_id, pos)) AS first_at FROM w WHERE line <> '' GROUP BY line
