@@ -18,12 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, marked, only_ids, settle, slices, table, text_rows, without_ids
+from .common import as_bytes, drop_settled, marked, only_ids, settle, slices, table, text_rows, without_ids
 
 LENGTH, ANCHOR = 200, 64
 REACH = LENGTH - ANCHOR  # starts lie 0 to 136 bytes before their anchor
 BLOCK = 16
-#: Blocks with equal cores that one suffix array covers; larger groups are cut into single starts instead.
+#: Blocks with equal cores that one suffix array covers; a larger group is split by the bytes that the first or the last
+#: half of its starts need to have in common, again and again.
 MOST = 2000
 #: Bits of the bitmap of anchors that goes to the tasks (8 MB).
 BITS = 1 << 26
@@ -161,18 +162,29 @@ class Anchors:
         self.key = h[self.at].view(np.int64)
 
 
+    def keep(self, mask: np.ndarray) -> Anchors:
+        self.doc, self.low, self.high, self.at, self.key = (x[mask] for x in (self.doc, self.low, self.high, self.at, self.key))
+        return self
+
+
 #: Bytes of texts whose anchors are found at once; places must fit in _PLACE, and one longer text is cut by itself.
 _AT_ONCE = 4 << 20
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]):
-    """(ids, first row, Anchors) of ranges of rows; a text above 12 MB goes in overlapping parts."""
+    """(ids, place of the part in its text, the whole text if it is cut, Anchors) of ranges of rows.
+
+    A long text goes in parts. All starts of an anchor belong to the part where the first of them lies: a part also
+    sees the start before it, and REACH starts beyond its end.
+    """
     for batch in batches:
         for a, b in slices(batch.column(1), _AT_ONCE):
             bodies = batch.column(1)[a:b].to_pylist()
             if len(bodies) == 1 and len(bodies[0]) > 3 * _AT_ONCE:
                 for x in range(0, len(bodies[0]) - LENGTH + 1, _AT_ONCE):
-                    yield batch.column(0)[a:b], x, bodies[0], Anchors([bodies[0][x : x + _AT_ONCE + LENGTH - 1]])
+                    before = min(x, 1)
+                    found = Anchors([bodies[0][x - before : x + _AT_ONCE + REACH + LENGTH]])
+                    yield batch.column(0)[a:b], x - before, bodies[0], found.keep((found.low >= before) & (found.low < before + _AT_ONCE))
             else:
                 yield batch.column(0)[a:b], 0, None, Anchors(bodies)
 
@@ -211,13 +223,13 @@ def _key_bits(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _cut_blocks(rows: DataFrame, kind: str, keys: DataFrame, block: int) -> DataFrame:
+def _cut_blocks(rows: DataFrame, kind: str, keys: DataFrame) -> DataFrame:
     """A row a block of an anchor whose key may be among keys: id, place of the block's first start in the text, key,
     block, core's hash, bytes left and right of the core, first and last start that the anchor has in the block."""
     bits = rows.sparkSession.sparkContext.broadcast(_key_bits(keys))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, side = xxhash.xxh3_64_intdigest, block - 1
+        digest, side = xxhash.xxh3_64_intdigest, BLOCK - 1
         for ids, shift, whole, found in _anchored(batches):
             if not len(found.at):
                 continue
@@ -229,8 +241,8 @@ def _cut_blocks(rows: DataFrame, kind: str, keys: DataFrame, block: int) -> Data
                 begin, end = (0, len(whole)) if whole is not None else (int(found.starts[doc]), int(found.starts[doc + 1]))
                 move = shift if whole is not None else 0
                 first = at + move - REACH
-                for k in range((low + move - first) // block, (high + move - first) // block + 1):
-                    a = first + k * block
+                for k in range((low + move - first) // BLOCK, (high + move - first) // BLOCK + 1):
+                    a = first + k * BLOCK
                     core = raw[a + side : a + LENGTH]
                     row = (
                         doc, a - begin, key, k, digest(core), raw[max(begin, a) : a + side], raw[a + LENGTH : min(end, a + LENGTH + side)],
@@ -258,22 +270,82 @@ def _cut_blocks(rows: DataFrame, kind: str, keys: DataFrame, block: int) -> Data
     )
 
 
-def _decide(groups: DataFrame) -> DataFrame:
-    """The suffix arrays: a row a variant with the bits of its repeated starts."""
+VARIANT = "key bigint, block smallint, core bigint, left binary, right binary"
+GROUP = ["key", "block", "core", "low", "high", "own"]
+
+
+def _decide(variants: DataFrame) -> DataFrame:
+    """The suffix arrays: a row a variant and range of starts with the bits of its repeated starts.
+
+    variants: those of VARIANT with n (blocks that are alike), low, high (the range of starts) and own (the bytes that
+    all starts of the range have in common in a group).
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
         for batch in batches:
-            out: tuple[list, ...] = tuple([] for _ in range(6))
-            for key, block, core, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                variants = [(v["left"], v["right"]) for v in own]
-                for (left, right), bits in zip(variants, repeated_starts(variants), strict=True):
-                    if bits:
-                        for column, x in zip(out, (key, block, core, left, right, bits), strict=True):
-                            column.append(x)
-            kinds = (pa.int64(), pa.int16(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["key", "block", "core", "left", "right", "bits"])
+            if not batch.num_rows:
+                continue
+            if tail is not None:
+                batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+            new = np.zeros(batch.num_rows - 1, bool)
+            for c in ("key", "block", "core", "low"):
+                new |= np.diff(batch.column(c).to_numpy()) != 0
+            own = batch.column("own").to_pylist()
+            for i in np.flatnonzero(~new).tolist():
+                new[i] = own[i] != own[i + 1]
+            ends = [0, *(np.flatnonzero(new) + 1).tolist()]
+            yield decided(batch.slice(0, ends[-1]), ends)
+            tail = batch.slice(ends[-1])
+        if tail is not None:
+            yield decided(tail, [0, tail.num_rows])
+
+    def decided(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        left, right, n, low, high = (batch.column(c).to_pylist() for c in ("left", "right", "n", "low", "high"))
+        bits = []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            mask = (1 << high[a]) - (1 << low[a])
+            if all(k > 1 for k in n[a:b]):  # all starts have an equal one
+                bits += [mask] * (b - a)
+            elif b - a == 1:
+                bits.append(0)
+            else:
+                found = repeated_starts(list(zip(left[a:b], right[a:b], strict=True)))
+                bits += [mask if k > 1 else x & mask for x, k in zip(found, n[a:b], strict=True)]
+        out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(bits, pa.int32())], names=[*batch.schema.names[:5], "bits"])
+        return out.filter(pa.array([x > 0 for x in bits], pa.bool_()))
+
+    placed = variants.repartition("key", "block", "core", "low", "own").sortWithinPartitions(*GROUP)
+    return placed.select("key", "block", "core", "left", "right", "n", "low", "high", "own").mapInArrow(work, VARIANT + ", bits int")
+
 
-    return groups.mapInArrow(work, "key bigint, block smallint, core bigint, left binary, right binary, bits int")
+def _ranged(variants: DataFrame) -> DataFrame:
+    return variants.withColumns({"low": F.lit(0), "high": F.lit(BLOCK), "own": F.lit(b"")})
+
+
+def _split(variants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranged variants in groups of MOST at most, and the bits of those single starts that still make larger groups.
+
+    A larger group's range of starts is halved. Starts from `low` to before `high` share the bytes left of the core
+    from high - 1 on, and the first `low` bytes right of it; variants without them have no start in the range.
+    """
+    whole = _ranged(variants)
+    for _ in range(BLOCK.bit_length() - 1):
+        sizes = whole.groupBy(*GROUP).agg(F.count("*").alias("size")).filter((F.col("size") > MOST) & (F.col("high") - F.col("low") > 1))
+        large = settle(sizes.select(*GROUP), "suffix-large")
+        if large.isEmpty():
+            break
+        middle = ((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct(middle.alias("low"), F.col("high").alias("high"))))
+        parts = whole.join(large, GROUP, "left_semi").select(*variants.columns, halves.alias("half")).select(*variants.columns, "half.*")
+        parts = parts.filter(f"octet_length(left) >= {BLOCK} - high and octet_length(right) >= low")
+        own = F.concat(F.expr(f"substring(left, octet_length(left) - {BLOCK - 1} + high, {BLOCK})"), F.expr("substring(right, 1, low)"))
+        whole = settle(whole.join(large, GROUP, "left_anti").unionByName(parts.withColumn("own", own)), "suffix-split")
+    # A group of one start holds equal strings alone.
+    single = whole.filter("high - low = 1")
+    twice = single.groupBy(*GROUP).agg(F.sum("n").alias("k")).filter("k > 1")
+    found = single.join(twice, GROUP, "left_semi").select(*variants.columns[:5], F.expr("shiftleft(1, low)").alias("bits"))
+    return whole.filter("high - low > 1"), found
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,18 +365,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = shared.join(same, where, "left_semi").select("id", F.col("place").alias("start"), (F.col("place") + F.col("far") - F.col("near") + LENGTH).alias("end"))
 
     keys = settled.groupBy("key").agg(F.count("*").alias("variants"), F.min("n").alias("least")).filter("variants > 1 and least = 1")
-    keys = settle(keys.select("key"), "suffix-open")
-    spans = whole
-    core, variant = ["key", "block", "core"], ["key", "block", "core", "left", "right"]
-    blocks = settle(_cut_blocks(rows, kind, keys, BLOCK).join(keys, "key", "left_semi"), "suffix-blocks")
+    keys = settle(keys.select("key", "variants"), "suffix-open")
+    variant = ["key", "block", "core", "left", "right"]
+    blocks = settle(_cut_blocks(rows, kind, keys).join(keys, "key", "left_semi"), "suffix-blocks")
     variants = settle(blocks.groupBy(*variant).agg(F.count("*").alias("n")), "suffix-variants")
-    groups = variants.groupBy(*core).agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1")
-    groups = settle(groups, "suffix-groups")
-    few = variants.join(groups.filter(F.col("size") <= MOST).select(*core), core, "left_semi")
-    listed = few.groupBy(*core).agg(F.collect_list(F.struct("left", "right")).alias("own"))
-    decided = _decide(listed).join(variants.filter("n = 1"), variant, "left_semi")
-    every = (1 << BLOCK) - 1
-    bits = settle(decided.unionByName(variants.filter("n > 1").select(*variant, F.lit(every).alias("bits"))), "suffix-bits")
+    # A group has no more variants than its anchor has surroundings.
+    heavy = settle(keys.filter(F.col("variants") > MOST).select("key"), "suffix-heavy")
+    if heavy.isEmpty():
+        bits = _decide(_ranged(variants))
+    else:
+        parts, single = _split(variants.join(heavy, "key", "left_semi").select(*variant, "n"))
+        bits = _decide(_ranged(variants.join(heavy, "key", "left_anti").select(*variant, "n")).unionByName(parts)).union(single)
+        bits = bits.groupBy(*variant).agg(F.bit_or("bits").alias("bits"))
+    bits = settle(bits, "suffix-bits")
     own = blocks.join(bits, variant).select(
         "id", "place", (F.col("bits").bitwiseAND(F.expr("shiftleft(1, last + 1) - shiftleft(1, first)"))).alias("bits")
     )
@@ -314,14 +387,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Starts of one block lie closer than 200 bytes, so their strings make one span.
     low, high = F.array_min("_on"), F.array_max("_on")
     some = own.filter("bits <> 0").withColumn("_on", runs).select("id", (F.col("place") + low).alias("start"), (F.col("place") + high + LENGTH).alias("end"))
-    spans = spans.union(some)
-    large = groups.filter(F.col("size") > MOST).select("key").distinct()
-    if not large.isEmpty():
-        single = _cut_blocks(rows, kind, large, 1)
-        single = settle(single.join(large, "key", "left_semi").select("id", "place", *core), "suffix-single")
-        twice = single.groupBy(*core).agg(F.count("*").alias("n")).filter("n > 1").select(*core)
-        spans = spans.union(single.join(twice, core, "left_semi").select("id", F.col("place").alias("start"), (F.col("place") + LENGTH).alias("end")))
-    return spans
+    return whole.union(some)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,7 +399,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns one row per input row: ``id_col``, n_bytes, n_removed, spans (maximal removed runs, array of start and
     end) and kept (the remaining bytes). Null and empty texts, and texts shorter than 200 bytes, stay as they are.
     Rows with a null id stay whole, though their strings count for others. Repeated rows are repeats of each other;
-    ids must tell rows with different texts apart. Other columns are ignored.
+    ids must tell rows with different texts apart. Very long texts are searched in overlapping parts; nothing but a
+    whole text's own bytes is held at once. Other columns are ignored; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     spans = settle(repeated_spans(docs, id_col, text_col).filter("id is not null").distinct(), "suffix-spans")
