@@ -37,18 +37,21 @@ TABLE_MAGIC = 0x184D2A5E
 SEEK_MAGIC = b"\xb1\xea\x92\x8f"
 CHECKSUMS = 0x80
 
-#: Entries of a worker's cache from pieces of text to ids; past that it starts anew.
-CACHE = 600_000
+#: Entries of a worker's cache from pieces of text to ids. Past that it starts anew, but for what the last one still gives.
+CACHE = 250_000
 _caches: dict[str, tuple] = {}
 
-#: Between an ASCII letter and a full stop or comma two tokens always part, so a space there changes nothing.
-_PART = re.compile(rb"(?<=[a-z])(?=[.,])")
+#: Words that neither the normalizer nor the pre-tokenizer changes or parts.
+_BARE = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Byte-level vocabularies write a byte as the character of its number; those that don't print follow from 256 up.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
 def _pieces(body: bytes) -> list[str]:
     """Pieces that the tokenizer treats alike on their own: white space never lies inside a token."""
     if b"<|" not in body:  # special tokens are matched before letters become lower case
-        body = _PART.sub(b" ", body.lower())
+        body = body.lower()
     return body.decode("utf-8", "replace").replace("\n", " ").split(" ")
 
 
@@ -60,19 +63,54 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(vocabulary) if isinstance(vocabulary, bytes) else Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
+        # The model may be asked for bare words, where text goes through nothing else that could change them.
+        self.bare = _BARE if self._byte_level() else lambda _: None
+        self.stops = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,"}
         self.cache: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
+
+    def _byte_level(self) -> bool:
+        def ids(x: str) -> list[int]:
+            return self.tokenizer.encode(x, add_special_tokens=False).ids
+
+        asked = ("the", "straße", "çàéîõü", "zyxwvutsrqponmlkjihgfedcba" * 3)
+        return all(self._word(x) == ids(x) and ids(x) + ids(".") + ids(",") == ids(x + ".") + ids(",") for x in asked)
+
+    def _word(self, word: str) -> list[int]:
+        raw = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        return [x.id for x in self.model.tokenize(raw)]
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         texts = [_pieces(x) for x in bodies]
-        missing = list(set().union(*texts) - self.cache.keys()) if texts else []
+        seen = set().union(*texts)
+        missing = seen - self.cache.keys()
         if len(self.cache) + len(missing) > CACHE:
-            self.cache = {}
-            missing = list(set().union(*texts))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
+            self.last, self.cache, missing = self.cache, {}, seen
+        cache, last, bare, rest = self.cache, self.last, self.bare, []
+
+        def packed(word: str) -> bytes:
+            found = cache.get(word) or last.get(word)
+            if found is None:
+                ids = self._word(word)
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            cache[word] = found
+            return found
+
+        for piece in missing:
+            if (known := last.get(piece)) is not None:
+                cache[piece] = known
+            elif bare(piece):
+                packed(piece)
+            elif piece[-1:] in (".", ",") and bare(piece[:-1]):  # a letter and a stop always part
+                cache[piece] = packed(piece[:-1]) + self.stops[piece[-1]]
+            else:
+                rest.append(piece)
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
             for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[piece] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-        get = self.cache.__getitem__
+                cache[piece] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        get = cache.__getitem__
         return [b"".join(map(get, x)) for x in texts]
 
 
