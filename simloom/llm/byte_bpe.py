@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ BOOK = 500_000
 #: Words of more bytes are split by a heap in Python instead: the fold's time grows with the square of the length.
 FOLDED_BYTES = 256
 #: Entries of a worker's cache from pieces of text to ids.
-CACHE = 80_000
+CACHE = 160_000
 #: Distinct pieces that a task counts before it passes its counts on.
 COUNTED = 200_000
 
@@ -282,17 +283,34 @@ def most_frequent(words: DataFrame, most: int) -> DataFrame:
 
 @dataclass
 class Book:
-    """Words and their ids, in flat arrays: about 35 bytes a word."""
+    """Words, by their hashes in ascending order, and their ids, in flat arrays: about 40 bytes a word."""
 
+    hashes: np.ndarray
     words: pa.Array
     ends: np.ndarray
     ids: bytes
 
     @staticmethod
     def of(folded: pa.Table) -> Book:
-        words, ids = (folded.column(c).combine_chunks() for c in ("word", "ids"))
+        hashes = _hashes(folded.column("word").to_pylist())
+        order = pa.array(np.argsort(hashes, kind="stable"))
+        words, ids = (folded.column(c).combine_chunks().take(order) for c in ("word", "ids"))
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int32)
-        return Book(words, ends, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
+        return Book(hashes[order.to_numpy()], words, ends, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
+
+    def find(self, words: list[str]) -> list[bytes | None]:
+        """The ids of each word that the book has."""
+        if not len(self.hashes) or not words:
+            return [None] * len(words)
+        asked = _hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        there = (self.hashes[at] == asked) & pc.equal(self.words.take(pa.array(at)), pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
+        low, high, ids = (4 * self.ends[at]).tolist(), (4 * self.ends[at + 1]).tolist(), self.ids
+        return [ids[a:b] if ok else None for ok, a, b in zip(there.tolist(), low, high, strict=True)]
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _ends(sizes: list[int]) -> pa.Array:
@@ -329,13 +347,16 @@ class _Codes:
                 found = self.find(self.before + piece)
                 words += found
                 counts.append(len(found))
-        at = pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=self.book.words), -1).to_numpy(zero_copy_only=False)
-        low, high = (4 * self.book.ends[at]).tolist(), (4 * self.book.ends[at + 1]).tolist()
-        codes = [self.book.ids[a:b] if k >= 0 else self.other(w) for w, k, a, b in zip(words, at.tolist(), low, high, strict=True)]
-        numbered, k = at < 0, 0
+        codes, numbered = self.book.find(words), set()
+        for i, code in enumerate(codes):
+            if code is None:
+                codes[i] = self.other(words[i])
+                if codes[i][-1] > 127:  # a number below 0
+                    numbered.add(i)
+        k = 0
         for piece, n in zip(fresh, counts, strict=True):
-            code = self.kept[piece] = codes[k] if n == 1 else b"".join(codes[k : k + n])
-            if numbered[k : k + n].any() and (np.frombuffer(code, np.int32) < 0).any():
+            self.kept[piece] = codes[k] if n == 1 else b"".join(codes[k : k + n])
+            if k in numbered or n > 1 and not numbered.isdisjoint(range(k, k + n)):
                 self.passing.append(piece)  # its numbers hold for these texts only
             k += n
         return self.kept.__getitem__
@@ -423,25 +444,20 @@ def decoder(ranks_path: str):
     return lambda ids: b"".join(map(pieces_of.__getitem__, ids))
 
 
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fill(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Puts the rare words' ids where their document has -1."""
-    for batch in batches:
-        out = []
-        for codes, rare in zip(batch.column(1), batch.column(2), strict=True):
-            ids = codes.values.to_numpy(zero_copy_only=False)
-            if len(rare):
-                sizes = np.ones(len(ids), np.int64)
-                at = np.flatnonzero(ids < 0)
-                inner = rare.values
-                own = np.diff(inner.offsets.to_numpy())
-                sizes[at] = own
-                wide = np.repeat(ids, sizes)
-                wide[wide < 0] = inner.flatten().to_numpy(zero_copy_only=False)
-                ids = wide
-            out.append(ids)
-        ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32))
-        flat = pa.array(np.concatenate(out) if out else np.empty(0, np.int32), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["id", "ids"])
+    for batch in (b.slice(a, rows) for b in batches for a in range(0, b.num_rows, rows)):
+        codes, rare = batch.column(1), batch.column(2)
+        flat = codes.flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(codes).to_numpy(zero_copy_only=False))])
+        words = rare.flatten()
+        if len(words):
+            sizes = np.ones(len(flat), np.int64)
+            sizes[flat < 0] = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[ends]
+            flat = np.repeat(flat, sizes)
+            flat[flat < 0] = words.flatten().to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))], names=["id", "ids"])
 
 
 def decode_ids(ids: Column, pieces_of: Column) -> Column:
@@ -455,16 +471,22 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@cache
+def _decoder(ranks_path: str):
+    """A decoder, and each id in decimal digits."""
+    return decoder(ranks_path), [str(i).encode() for i in range(max(load_ranks(ranks_path).values(), default=-1) + 1)].__getitem__
+
+
 def digests(ranks_path: str):
     """Finishes documents as the number of their ids and the digests of the ids and of the bytes they decode to."""
 
     def function(batch: pa.RecordBatch) -> pa.RecordBatch:
-        decode = decoder(ranks_path)
+        decode, digits = _decoder(ranks_path)
         n, ids_sha, decoded = [], [], []
         for own in batch.column(1):
             ids = own.values.to_numpy().tolist()
             n.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            ids_sha.append(hashlib.sha256(b",".join(map(digits, ids))).hexdigest())
             decoded.append(hashlib.sha256(decode(ids)).hexdigest())
         columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded, pa.string())]
         return pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
