@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,10 +51,12 @@ def replace(s: Column, pattern: str, replacement: str, most: int | None = None)
     """Replaces all matches, or the first `most`."""
     if most is None:
         return F.regexp_replace(s, pattern, replacement)
-    out = s
-    for _ in range(most):  # each round replaces the first match that is left of the unreplaced rest
-        out = F.when(out.rlike(pattern), F.regexp_replace(out, rf"(?s)\A(.*?)(?:{pattern})", "$1" + replacement)).otherwise(out)
-    return out
+    if most < 1:
+        return s
+    # What follows the match number `most` is the last part of a split; all matches before it are replaced.
+    rest = F.element_at(F.split(s, pattern, most + 1), -1)
+    head = F.substring(s, F.lit(1), F.length(s) - F.length(rest))
+    return F.concat(F.regexp_replace(head, pattern, replacement), rest)
 
 
 def join(*parts: tuple[Column, str]) -> Column:
@@ -62,28 +65,29 @@ def join(*parts: tuple[Column, str]) -> Column:
 
 
 def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, with a row of the shorter text in memory."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = corner + 1 if x == y else max(above, row[j - 1])
-            corner = above
-    return row[-1]
-
-
-@F.udf(T.DoubleType())
-def edit_distance(a: str | None, b: str | None) -> float | None:
-    """Insertions and deletions that turn a into b; a substitution counts as both."""
-    if a is None or b is None:
-        return None
-    return float(len(a) + len(b) - 2 * lcs_length(a, b))
-
-
-@F.udf(T.DoubleType())
-def commonality(a: str | None, b: str | None) -> float | None:
-    """Characters in the longest common subsequence."""
-    return None if a is None or b is None else float(lcs_length(a, b))
+    """Length of the longest common subsequence: a row of the table is one long number, a bit a character of a."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        some = row & places.get(y, 0)
+        row = (row + some | row - some) & full
+    return len(a) - row.bit_count()
+
+
+def _of_pairs(f):
+    """A function of two texts as one of two columns; null if either is. Texts come in Arrow batches."""
+
+    @F.pandas_udf(T.DoubleType())
+    def work(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else float(f(x, y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return work
+
+
+#: Insertions and deletions that turn a into b; a substitution counts as both.
+edit_distance = _of_pairs(lambda a, b: len(a) + len(b) - 2 * lcs_length(a, b))
+#: Characters in the longest common subsequence.
+commonality = _of_pairs(lcs_length)

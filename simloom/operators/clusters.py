@@ -141,7 +141,7 @@ def hierarchy_clusters(n: int, edges: list[tuple[float, int, int]], weight: Sequ
 
 
 def clusters(
-    df: DataFrame, k: int, least_weight: float, features: Sequence[Feature], p: float = 1.0, surprisal: bool = False,
+    df: DataFrame, k: int | Sequence[float], least_weight: float, features: Sequence[Feature], p: float = 1.0, surprisal: bool = False,
     id_col: str = "id", weight: str | None = None,
 ) -> DataFrame:
     """(id, cluster): cluster numbers in the order of their smallest ids, 0 for noise.
@@ -149,7 +149,8 @@ def clusters(
     Neighbours, core distances and edges are made in parallel. The hierarchy takes all edges together, so one task
     gets rows times k edges; their number is checked against MOST_EDGES first.
     """
-    near = neighbour_table(df, k, features, p, surprisal, id_col, weight, spare=0).filter(F.col("r") <= k)
+    near = neighbour_table(df, k, features, p, surprisal, id_col, weight, spare=0)
+    near = near.filter(F.col("r") <= k) if isinstance(k, int) else near
     core = near.groupBy("i").agg(F.max("d").alias("core"), F.max("wi").alias("wi"))
     edges = near.select("i", "j", "d").join(core.select("i", "core"), "i").join(core.select(F.col("i").alias("j"), F.col("core").alias("other")), "j")
     edges = edges.select("i", "j", F.greatest("core", "other", "d").alias("d"), F.lit(None).cast("double").alias("w"))

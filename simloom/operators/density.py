@@ -33,11 +33,11 @@ def _contribution(rows: DataFrame, key: list[str], exponent, weighted: bool) ->
 
 
 def distance_contributions(
-    df: DataFrame, k: int, features: Sequence[Feature], p: float = 1.0, exponent: float | str = 1.0, surprisal: bool = False,
+    df: DataFrame, k: int | Sequence[float], features: Sequence[Feature], p: float = 1.0, exponent: float | str = 1.0, surprisal: bool = False,
     id_col: str = "id", weight: str | None = None, queries: DataFrame | None = None,
 ) -> DataFrame:
     """(id, dc): expected distance of each row to its k nearest others; rows at the same place share it."""
-    near = neighbour_table(df, k, features, p, surprisal, id_col, weight, queries, spare=0)
+    near = neighbour_table(df, k, features, p, surprisal, id_col, weight, queries, 0, exponent)
     return _contribution(near, ["i"], exponent, weight is not None).withColumnRenamed("i", id_col)
 
 
@@ -127,11 +127,12 @@ def group_kl(
 
 
 def cumulative_weights(
-    df: DataFrame, k: int, features: Sequence[Feature], p: float = 1.0, exponent: float | str = -1.0, surprisal: bool = False,
+    df: DataFrame, k: int | Sequence[float], features: Sequence[Feature], p: float = 1.0, exponent: float | str = -1.0, surprisal: bool = False,
     id_col: str = "id", weight: str | None = None,
 ) -> DataFrame:
     """(id, weight): what each row receives when every row spreads its weight over its k nearest by closeness."""
-    near = neighbour_table(df, k, features, p, surprisal, id_col, weight, spare=0).filter(F.col("r") <= k)
+    near = neighbour_table(df, k, features, p, surprisal, id_col, weight, None, 0, exponent)
+    near = near.filter(F.col("r") <= k) if isinstance(k, int) else near
     if surprisal or exponent == "surprisal_to_prob":
         t = F.exp(-F.col("d"))
     else:

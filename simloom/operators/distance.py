@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import edit_distance
@@ -19,10 +19,11 @@ INF = float("inf")
 class Feature:
     """How one column takes part in a distance.
 
-    kind: continuous, cyclic, nominal, or string (insertions and deletions between texts). deviation: expected noise of the column, 0 for none. cycle: length of a cyclic
-    column's period. classes: number of classes of a nominal one. known_unknown and unknown_unknown: difference if one
-    or both values are null; a missing one is the other, both missing `most`, the largest difference of the column.
-    confusion: nominal deviations by (own, other) value.
+    kind: continuous, cyclic, nominal, or string (insertions and deletions between texts). deviation: expected noise of
+    the column, 0 for none. cycle: length of a cyclic column's period. classes: number of classes of a nominal one.
+    known_unknown and unknown_unknown: difference if one or both values are null; a missing one is the other, both
+    missing `most`, the largest difference of the column. confusion: nominal deviations by (own, other) value.
+    ``fitted`` takes classes and most from the data.
     """
 
     name: str
@@ -33,10 +34,38 @@ class Feature:
     classes: float | None = None
     known_unknown: float | None = None
     unknown_unknown: float | None = None
-    most: float = INF
+    most: float | None = None
     confusion: dict[tuple, float] = field(default_factory=dict)
 
 
+def fitted(df: DataFrame, features: Sequence[Feature], surprisal: bool = False, point: Sequence | None = None) -> list[Feature]:
+    """The features with the statistics that the data tells where none are given: one aggregation over df, none without need.
+    The rows of df have no nulls in the features; a point may.
+
+    A nominal column has as many classes as distinct values, and 1 / (values + 0.5) more for those not seen yet; they
+    count where values may be mistaken. The largest difference, which counts where nulls do, is the span of a continuous
+    column, half a cycle, twice the longest text, or just below 1 for a nominal one.
+    """
+    wanted = {}
+    for i, f in enumerate(features):
+        c = F.col(f.name)
+        if f.kind == "nominal" and f.classes is None and (surprisal or f.deviation > 0):
+            wanted[f"classes_{i}"] = F.count_distinct(c) + 1 / (F.count(c) + 0.5)
+        if f.most is None and f.known_unknown is None and f.unknown_unknown is None and point is not None and point[i] is None:
+            if f.kind == "continuous":
+                wanted[f"most_{i}"] = F.coalesce(F.max(c.cast("double")) - F.min(c.cast("double")), F.lit(0.0))
+            elif f.kind == "string":
+                wanted[f"most_{i}"] = F.coalesce(2.0 * F.max(F.char_length(c.cast("string"))), F.lit(0.0))
+            elif f.kind == "nominal":
+                wanted[f"most_{i}"] = 1 - 1 / (F.greatest(F.count(c), F.lit(1)) + 0.5)
+    known = df.agg(*(v.alias(k) for k, v in wanted.items())).first().asDict() if wanted else {}
+    out = []
+    for i, f in enumerate(features):
+        most = f.cycle / 2 if f.kind == "cyclic" and f.most is None and f.cycle else known.get(f"most_{i}", f.most)
+        out.append(replace(f, classes=known.get(f"classes_{i}", f.classes), most=most))
+    return out
+
+
 def _same(a: Column, b: Column) -> Column:
     return F.coalesce(a == b, F.lit(False))
 
@@ -67,8 +96,8 @@ def difference_term(f: Feature, a: Column, b: Column, surprisal: bool) -> tuple[
                 term = F.when(d == 0, 0.0).otherwise(F.greatest(term / s - 1.5, F.lit(0.0)))
         else:
             term = d
-    one = f.known_unknown if f.known_unknown is not None else f.unknown_unknown if f.unknown_unknown is not None else f.most
-    both = f.unknown_unknown if f.unknown_unknown is not None else f.known_unknown if f.known_unknown is not None else f.most
+    one = f.known_unknown if f.known_unknown is not None else f.unknown_unknown if f.unknown_unknown is not None else INF if f.most is None else f.most
+    both = f.unknown_unknown if f.unknown_unknown is not None else f.known_unknown if f.known_unknown is not None else INF if f.most is None else f.most
     term = F.when(a.isNull() & b.isNull(), F.lit(float(both))).when(a.isNull() | b.isNull(), F.lit(float(one))).otherwise(term)
     return term, match
 

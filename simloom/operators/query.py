@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.values import natural_key
 from . import density, neighbors, stats
 from .clusters import clusters
-from .distance import Feature
+from .distance import Feature, fitted
 
 PRESENT = "__present"
 #: Lists of ids or values up to this length become a filter; longer ones a semi-join.
@@ -198,33 +198,43 @@ class Query:
         return q.df
 
     def within(self, radius: float, features: Sequence[Feature], point: Sequence, **options) -> DataFrame:
-        return neighbors.within(self._having(features), radius, features, point, id_col=self.id, **options)
+        rows = self._having(features)
+        return neighbors.within(rows, radius, fitted(rows, features, options.get("surprisal", False), point), point, id_col=self.id, **options)
 
     def nearest(self, k, features: Sequence[Feature], point: Sequence, **options) -> DataFrame:
-        return neighbors.nearest(self._having(features), k, features, point, id_col=self.id, **options)
+        rows = self._having(features)
+        return neighbors.nearest(rows, k, fitted(rows, features, options.get("surprisal", False), point), point, id_col=self.id, **options)
 
     def nearest_to(self, k, features: Sequence[Feature], row_id, **options) -> DataFrame:
         """The nearest others of a row of the table."""
         rows = self._having(features)
-        return neighbors.nearest(rows, k, features, neighbors.point_of(rows, features, row_id, self.id), id_col=self.id, exclude=row_id, **options)
+        point = neighbors.point_of(rows, features, row_id, self.id)
+        return neighbors.nearest(rows, k, fitted(rows, features, options.get("surprisal", False), point), point, id_col=self.id, exclude=row_id, **options)
 
     def position_contributions(self, positions: DataFrame, k: int, features: Sequence[Feature], **options) -> DataFrame:
-        return density.position_contributions(self._having(features), positions, k, features, id_col=self.id, **options)
+        rows = self._having(features)
+        return density.position_contributions(rows, positions, k, fitted(rows, features, options.get("surprisal", False)), id_col=self.id, **options)
 
     def distance_contributions(self, k: int, features: Sequence[Feature], **options) -> DataFrame:
-        return density.distance_contributions(self._having(features), k, features, id_col=self.id, **options)
+        rows = self._having(features)
+        return density.distance_contributions(rows, k, fitted(rows, features, options.get("surprisal", False)), id_col=self.id, **options)
 
     def kl_divergences(self, k: int, features: Sequence[Feature], **options) -> DataFrame:
-        return density.kl_divergences(self._having(features), k, features, id_col=self.id, **options)
+        rows = self._having(features)
+        return density.kl_divergences(rows, k, fitted(rows, features, options.get("surprisal", False)), id_col=self.id, **options)
 
     def convictions(self, k: int, features: Sequence[Feature], **options) -> DataFrame:
-        return density.convictions(self._having(features), k, features, id_col=self.id, **options)
+        rows = self._having(features)
+        return density.convictions(rows, k, fitted(rows, features, options.get("surprisal", False)), id_col=self.id, **options)
 
     def group_kl(self, group: Sequence, k: int, features: Sequence[Feature], **options) -> DataFrame:
-        return density.group_kl(self._having(features), group, k, features, id_col=self.id, **options)
+        rows = self._having(features)
+        return density.group_kl(rows, group, k, fitted(rows, features, options.get("surprisal", False)), id_col=self.id, **options)
 
     def cumulative_weights(self, k: int, features: Sequence[Feature], **options) -> DataFrame:
-        return density.cumulative_weights(self._having(features), k, features, id_col=self.id, **options)
+        rows = self._having(features)
+        return density.cumulative_weights(rows, k, fitted(rows, features, options.get("surprisal", False)), id_col=self.id, **options)
 
     def clusters(self, k: int, least_weight: float, features: Sequence[Feature], **options) -> DataFrame:
-        return clusters(self._having(features), k, least_weight, features, id_col=self.id, **options)
+        rows = self._having(features)
+        return clusters(rows, k, least_weight, fitted(rows, features, options.get("surprisal", False)), id_col=self.id, **options)
