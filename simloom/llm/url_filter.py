@@ -19,11 +19,11 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-# Words of hosts that mark a page as unwanted; the seed labels from which the classifier learns.
+# Words of hosts that mark a page as unwanted, for labels where no rule has one.
 SEED_BLOCK = ("ads", "adult", "bet", "bets", "bonus", "casino", "cheap", "farm", "free", "loan", "pills", "poker", "porn", "spam", "track", "tracker", "win", "xxx")
 
-#: Letters of the longest word that a name is split into.
-LONGEST = 24
+#: Letters of the longest word that a name is split into: no part of a host name may have more.
+LONGEST = 63
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -106,11 +106,8 @@ def _per_name(names: DataFrame, kind: str, result: pa.DataType, f) -> DataFrame:
     return names.select("w", "n", "own").mapInArrow(work, f"w string, made {kind}")
 
 
-def split_names(counts: DataFrame, seeds=SEED_BLOCK) -> DataFrame:
-    """(w, pieces): every name of (w, n) and every seed, split by the unigram model that they form."""
-    typical = counts.agg(F.max("n")).first()[0] or 1
-    more = counts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, seeds)).cast("array<string>")).alias("w"), F.lit(typical).cast("bigint").alias("n"))
-    unigrams = settle(counts.union(more).groupBy("w").agg(F.sum("n").alias("n")), "url-unigrams")
+def split_names(unigrams: DataFrame) -> DataFrame:
+    """(w, pieces): every name of (w, n), split by the unigram model that they form."""
     inside = settle(_parts(unigrams).join(unigrams.select(F.col("w").alias("part"), F.col("n").alias("m")), "part").select("w", "n", "part", "m"), "url-parts")
     own = F.collect_list(F.struct("part", "m")).alias("own")
     longer = inside.filter("length(part) > 2").groupBy("w", "n").agg(own)
@@ -125,36 +122,42 @@ def split_names(counts: DataFrame, seeds=SEED_BLOCK) -> DataFrame:
 def judge_urls(pages: DataFrame, rules=RULES, seeds=SEED_BLOCK, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: ``id_col``, host, path, rule, verdict (allow or block), words, score (log odds of block).
 
-    The unigram model counts the letter runs of all hosts and paths, hyphens and dots being borders, together with
-    the seed words. Seed labels (a seed word among a host's hyphenated parts: block; else allow) over all pages give
-    the multinomial naive Bayes counts with Laplace smoothing, so words that keep company with seeds count too. Both
-    models are whole tables, without a limit to their words: distinct names are joined to them, not pages. A rule's
-    verdict goes before the model's. Null urls and urls without :// have an empty host and path and are judged by the
-    prior alone. Repeated rows repeat; other columns are ignored; an empty table gives an empty result.
+    The unigram model counts the letter runs of all hosts and paths, hyphens and dots being borders. Labels come from
+    the table: a page that a rule fits has the rule's verdict; any other is labelled block if a word of its segmented
+    host is among the seeds, else allow. Multinomial naive Bayes with Laplace smoothing counts the segmented words of
+    all pages by label, so words that keep company with blocked ones count too. Both models are whole tables, without a
+    limit to their words: distinct names are joined to them, not pages. A rule's verdict goes before the model's; a
+    score of 0 allows; of equally probable splits the one with the longest last word is taken. Null urls and urls
+    without :// have an empty host and path and are judged by the prior alone. Very long names only take longer, by
+    LONGEST strings a letter. Repeated rows repeat; other columns are ignored; an empty table gives an empty result.
     """
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"))
     host, path = host_and_path(F.col("_url"))
-    urls = settle(base.select("_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("_key")), "url-rows")
+    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
+    urls = base.select("_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("_key"))
+    urls = settle(urls.withColumns({"rule": rule, "told": verdict}), "url-rows")
 
     runs = "regexp_extract_all({}, '([a-z]+)', 1)"
     parts = urls.select(F.explode(F.expr(runs.format("concat(host, ' ', lower(path))"))).alias("w"))
-    pieces = split_names(settle(parts.groupBy("w").agg(F.count("*").alias("n")), "url-counts"), seeds)
+    pieces = split_names(settle(parts.groupBy("w").agg(F.count("*").alias("n")), "url-counts"))
 
     # Names of the host but for its last label, marked by where they stand, then names of the path.
     own = F.expr(runs.format(r"regexp_replace(host, '[.][^.]*\\z', '')"))
     rest = F.expr(runs.format("lower(path)"))
     named = [F.transform(own, lambda w: F.struct(F.lit("h:").alias("side"), w.alias("w"))), F.transform(rest, lambda w: F.struct(F.lit("p:").alias("side"), w.alias("w")))]
-    names = urls.select("_key", F.posexplode(F.concat(*named)).alias("at", "name")).select("_key", "at", "name.side", "name.w")
+    names = urls.select("_key", "told", F.posexplode(F.concat(*named)).alias("at", "name")).select("_key", "told", "at", "name.side", "name.w")
     bad = pieces.filter(F.arrays_overlap("pieces", F.array(*map(F.lit, seeds)).cast("array<string>"))).select("w")
-    blocked = settle(names.filter("side = 'h:'").join(bad, "w", "left_semi").select("_key", F.lit(1).alias("y")).distinct(), "url-blocked")
-    labelled = names.join(blocked, "_key", "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    seeded = settle(names.filter("side = 'h:' and told is null").join(bad, "w", "left_semi").select("_key", F.lit(1).alias("seed")).distinct(), "url-seeded")
+    y = F.coalesce((F.col("told") == "block").cast("int"), F.col("seed"), F.lit(0))
+    labelled = names.join(seeded, "_key", "left").withColumn("y", y)
     distinct = labelled.groupBy("side", "w").agg(F.sum(1 - F.col("y")).alias("a"), F.sum("y").alias("b")).join(pieces, "w")
     tokens = distinct.select("side", "w", "a", "b", F.posexplode("pieces").alias("k", "piece"))
     tokens = settle(tokens.select("side", "w", "a", "b", "k", F.concat("side", "piece").alias("t")), "url-tokens")
     counts = settle(tokens.groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "url-token-counts")
     sizes = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    n_blocked = blocked.count()
-    prior = math.log((n_blocked + 1) / (urls.count() - n_blocked + 1))
+    n_pages, n_blocked = urls.agg(F.count("*"), F.count(F.when(F.col("told") == "block", 1))).first()
+    n_blocked += seeded.count()
+    prior = math.log((n_blocked + 1) / (n_pages - n_blocked + 1))
     weight = F.log((F.col("b") + 1) / F.lit(float(sizes["b"] + sizes["n"] + 1))) - F.log((F.col("a") + 1) / F.lit(float(sizes["a"] + sizes["n"] + 1)))
     weighed = tokens.select("side", "w", "k", "t").join(counts.select("t", weight.alias("weight")), "t")
     judged = settle(weighed.groupBy("side", "w").agg(F.array_sort(F.collect_list(F.struct("k", "t", "weight"))).alias("own")), "url-judged")
@@ -164,10 +167,9 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds=SEED_BLOCK, id_col: str = "p
     none = F.array().cast("array<string>")
     # Summed in the words' order, so that the score doesn't depend on the partitioning.
     score = F.aggregate(F.coalesce(F.col("all.weight"), F.array().cast("array<double>")), F.lit(0.0), lambda x, w: x + w) + F.lit(prior)
-    out = urls.join(found, "_key", "left").select("_id", "host", "path", F.coalesce(F.col("all.t"), none).alias("words"), score.alias("score"))
-    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
+    out = urls.join(found, "_key", "left").select("_id", "host", "path", "rule", "told", F.coalesce(F.col("all.t"), none).alias("words"), score.alias("score"))
     by_model = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return out.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_model).alias("verdict"), "words", "score")
+    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("told", by_model).alias("verdict"), "words", "score")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

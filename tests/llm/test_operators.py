@@ -280,6 +280,7 @@ def test_urls(spark):
     urls = [
         "https://www.Casino-Win.example.net/en/1?x", "http://a.example.org/es/1", "http://example.org/en/12", "http://example.org/fr/2", "http://b.com/fr/",
         "http://b.com/de/x#y", "http://org.net/", "nothing", None, "", "http://x.org", "http://casinowin.net/a", "http://quiet.net/a", "http://quiet.net/a",
+        "http://casino-win.net/", "http://quiet.net/b", "http://quiet.net/c",
     ]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
     got = {r["page_id"]: r for r in url_filter.judge_urls(pages).collect()}
