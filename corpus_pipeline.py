@@ -17,10 +17,19 @@ from simloom.llm.language_id import UNDETERMINED, fit_language_model, held_out,
 from simloom.llm.near_dedup import near_duplicates
 
 
+#: The column that tells rows apart within a stage.
+KEY = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of the id and a hash of the text: ids may be null, or name different texts."""
+    return docs.withColumn(KEY, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark")))
+
+
 def _without(docs: DataFrame, found: DataFrame, goes: Column) -> DataFrame:
-    """docs without the ids for which `goes` holds. Those are few beside the documents, which aren't shuffled."""
-    gone = settle(found.filter(goes).select(F.col("doc_id").alias("id")).distinct(), "pipeline-gone")
-    return without_ids(docs, "doc_id", gone)
+    """docs without the rows whose keys `goes` holds for. Those are few beside the documents, which aren't shuffled."""
+    gone = settle(found.filter(goes).select(F.col(KEY).alias("id")).distinct(), "pipeline-gone")
+    return without_ids(_keyed(docs), KEY, gone).drop(KEY)
 
 
 #: The calibrated score from which a language counts as told. Letters of no learnt language score about even between
@@ -30,30 +39,35 @@ LEAST_SCORE = 0.6
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those go whose calibrated score is below LEAST_SCORE, or that are null or
-    have no letter. Where there is no label to learn from, only the latter go."""
+    have no letter. Where there is no label to learn from, only the latter go. Each row is judged by its own text."""
     model = fit_language_model(docs.filter(~held_out()))
     if not model.labels:
-        return _without(docs, docs.select("doc_id", "text"), ~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return _without(docs, identify(docs, model), (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE))
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = identify(_keyed(docs), model, id_col=KEY)
+    return _without(docs, found, (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _without(docs, exact_dedup(docs), ~F.col("kept"))
+    """One document of each group of equal texts, the one of the smallest id (null before all). Null texts are empty.
+    Rows that are alike in id and text can't be told apart and share their fate."""
+    keyed = _keyed(docs)
+    return _without(docs, exact_dedup(keyed, id_col=KEY), ~F.col("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, a similarity of 0.8 or more."""
-    return _without(docs, near_duplicates(docs, percent=80, words=5), ~F.col("kept"))
+    """One document of each group of near copies, the one of the smallest id (null before all): shingles of five words,
+    a similarity of 0.8 or more. Texts without words are copies of nothing."""
+    return _without(docs, near_duplicates(_keyed(docs), percent=80, words=5, id_col=KEY), ~F.col("kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), F.size("spans") > 0)
+    """Documents that hold no window of the benchmark. Each row is judged by its own text; without benchmark all stay."""
+    found = decontaminate(_keyed(docs), table(spark, sf_dir, "benchmark"), id_col=KEY)
+    return _without(docs, found, F.size("spans") > 0)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, their number, and a check that they decode to its text."""
+    """Token ids of each row, their number, and the digest of the text that they decode to. Null text has no ids."""
     path, pattern = default_vocabulary()
     found = encode_documents(docs, path, pattern)
     decoded = F.sha2(decode_ids(F.col("ids"), piece_list(load_ranks(path))), 256)
