@@ -21,6 +21,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("simloom.scratch.dir", None)
         if not root:
+            if spark.sparkContext.master.split("[")[0] != "local":  # executors elsewhere don't see this machine's folders
+                raise ValueError("spark.checkpoint.dir must name a shared folder")
             root = "file://" + tempfile.mkdtemp(prefix="simloom-")
             spark.conf.set("simloom.scratch.dir", root)
             _forget_at_exit(spark, root)

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import as_bytes, settle, slices, table, text_rows
 
@@ -110,7 +112,7 @@ class FMIndex:
 class Phrases:
     """The benchmark's windows: `window` consecutive words of an item, or the whole of a shorter one."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int):
+    def __init__(self, items: list[tuple], window: int):
         self.ids: dict[bytes, int] = {}
         found: dict[int, dict[tuple[int, ...], set]] = {}
         for item, body in items:
@@ -174,11 +176,11 @@ def match_shard(bodies: list[bytes], phrases: Phrases) -> Iterator[tuple[int, li
         yield n, spans.get(d, []), sorted(x for x in items.get(d, ()) if x is not None)
 
 
-def _match_block(rows: DataFrame, items: list[tuple[int, bytes]], window: int) -> DataFrame:
+def _match_block(rows: DataFrame, items: list[tuple], item_kind: T.DataType, window: int) -> DataFrame:
     """For rows (id, body), their ids with n_words, spans and items."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(items)  # BLOCK_BYTES at most
-    kind = rows.schema["id"].dataType.simpleString()
+    kind, of_items = rows.schema["id"].dataType.simpleString(), pa.list_(to_arrow_type(item_kind))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(shared.value, window)
@@ -192,7 +194,7 @@ def _match_block(rows: DataFrame, items: list[tuple[int, bytes]], window: int) -
                         own,
                         pa.array([r[0] for r in made], pa.int64()),
                         pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in made], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        pa.array([r[2] for r in made], pa.list_(pa.int64())),
+                        pa.array([r[2] for r in made], of_items),
                     ],
                     names=["id", "n_words", "spans", "items"],
                 )
@@ -211,7 +213,7 @@ def _match_block(rows: DataFrame, items: list[tuple[int, bytes]], window: int) -
             yield from flush(ids, bodies)
 
     return rows.mapInArrow(
-        work, f"id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
+        work, f"id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<{item_kind.simpleString()}>"
     )
 
 
@@ -233,12 +235,14 @@ def decontaminate(
     locate the occurrences, and spans are merged. No shuffle. The benchmark's size is checked: it is sent to the
     tasks in blocks of 32 MB at most, and with more than one block the documents' spans are merged over the blocks.
 
-    Null text and null items have no words; an empty benchmark hits nothing; repeated items count by their id; null
+    Item ids may be of any type that orders, such as text. Very long texts are a shard of their own, which an index covers
+    as a whole. Null text and null items have no words; an empty benchmark hits nothing; repeated items count by their id; null
     item ids are left out of items, though their windows hit. Repeated documents and null ids give a row each, however
     many blocks the benchmark has: the blocks' spans are merged by a key of the row's own, under which texts are written
     once to the scratch folder.
     """
-    items = benchmark.select(F.col(item_id_col).cast("bigint").alias("id"), as_bytes(item_text_col).alias("body"))
+    items = benchmark.select(F.col(item_id_col).alias("id"), as_bytes(item_text_col).alias("body"))
+    item_kind = items.schema["id"].dataType
     total = items.agg(F.sum(F.octet_length("body") + 16)).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK_BYTES // 2)))
 
@@ -249,7 +253,7 @@ def decontaminate(
 
     def block(k: int) -> DataFrame:
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "body"), F.lit(blocks)) == k)
-        return _match_block(rows, [(r[0], bytes(r[1])) for r in own.toLocalIterator()], window)
+        return _match_block(rows, [(r[0], bytes(r[1])) for r in own.toLocalIterator()], item_kind, window)
 
     out = block(0)
     if blocks > 1:

@@ -28,12 +28,13 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def ngram_features(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ngram_features(bodies: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts on end, the place where each text starts among them, and whether it has a letter.
 
     Texts are put in lower case; everything but letters becomes one code point, so n-grams see word borders only.
     """
-    texts = [x.decode("utf-8", "replace").lower() for x in bodies]
+    texts = [x.decode("utf-8", "replace") for x in bodies]
+    texts = [x.lower() for x in texts] if lower else texts
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -56,6 +57,22 @@ def ngram_features(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return out, starts, has
 
 
+#: Texts of more bytes are counted in parts of as many characters.
+LONG = 4 << 20
+
+
+def long_counts(body: bytes) -> tuple[np.ndarray, bool]:
+    """How often each hashed n-gram occurs in one very long text, and whether it has a letter."""
+    text = body.decode("utf-8", "replace").lower()
+    out, any_letter = np.zeros(1 << BITS, np.int64), False
+    for a in range(0, len(text), LONG):
+        part = text[a : a + LONG + max(ORDERS) - 1]  # n-grams that start in the part end beyond it
+        grams, _, has = ngram_features([part.encode()], lower=False)
+        out += np.bincount(grams[:LONG].ravel(), minlength=1 << BITS)
+        any_letter |= bool(has[0])
+    return out, any_letter
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -67,7 +84,8 @@ class Model:
         """The label of each whole text and its calibrated probability; `und` with 0 for texts without a letter."""
         if not self.labels:
             return [UNDETERMINED] * len(bodies), np.zeros(len(bodies))
-        grams, starts, has = ngram_features(bodies)
+        long = [i for i, x in enumerate(bodies) if len(x) > LONG]
+        grams, starts, has = ngram_features([b"" if len(x) > LONG else x for x in bodies])
         scores = np.zeros((len(bodies), len(self.labels)))
         sizes = np.diff(starts)
         full = np.flatnonzero(sizes)
@@ -75,6 +93,9 @@ class Model:
             for k in range(grams.shape[1]):
                 scores[full] += np.add.reduceat(self.table[grams[:, k]], starts[full], axis=0, dtype=np.float64)
             scores[full] /= (sizes[full] * grams.shape[1])[:, None]
+        for i in long:
+            seen, has[i] = long_counts(bodies[i])
+            scores[i] = seen @ self.table.astype(np.float64) / max(1, seen.sum())
         scores = (scores + self.bias) / self.temperature
         scores = np.exp(scores - scores.max(axis=1, keepdims=True))
         scores /= scores.sum(axis=1, keepdims=True)
@@ -163,12 +184,15 @@ def fit_language_model(docs: DataFrame, label_col: str = "lang", id_col: str = "
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 bodies = batch.column(1)[a:b].to_pylist()
-                grams, starts, has = ngram_features(bodies)
+                grams, starts, has = ngram_features([b"" if len(x) > LONG else x for x in bodies])
                 chosen = batch.column(2)[a:b].to_pylist()
                 for i in range(len(bodies)):
+                    if len(bodies[i]) > LONG:
+                        seen, has[i] = long_counts(bodies[i])
+                    else:
+                        seen = np.bincount(grams[starts[i] : starts[i + 1]].ravel(), minlength=0)
                     if not has[i]:
                         continue
-                    seen = np.bincount(grams[starts[i] : starts[i + 1]].ravel(), minlength=0)
                     at = np.flatnonzero(seen)
                     df[at] += 1
                     n_docs += 1
@@ -204,8 +228,12 @@ def fit_language_model(docs: DataFrame, label_col: str = "lang", id_col: str = "
 SCALE = 10.0
 
 
+#: Tasks that sum up frequencies, of 512 KB each.
+SUMS = 32
+
+
 def _frequencies(parts: DataFrame) -> tuple[np.ndarray, int]:
-    """Sums the tasks' document frequencies by pairs of tasks on the executors; one vector reaches the driver."""
+    """Sums the tasks' document frequencies on the executors; SUMS vectors at most reach the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
@@ -215,7 +243,7 @@ def _frequencies(parts: DataFrame) -> tuple[np.ndarray, int]:
                 n += h
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([n], pa.int64()), pa.array([df.tobytes()], pa.binary())], names=["label", "h", "packed"])
 
-    summed = parts.mapInArrow(add, "label string, h bigint, packed binary")
+    summed = parts.coalesce(SUMS).mapInArrow(add, "label string, h bigint, packed binary")
     df, n = np.zeros(1 << BITS, np.int64), 0
     for r in summed.toLocalIterator():
         df, n = df + np.frombuffer(bytes(r["packed"]), np.int64), n + r["h"]
@@ -229,8 +257,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, lang_pred, score. No shuffle; the whole text counts.
 
-    Text that is null or has no letter gets `und` and 0. Null ids pass through, repeated rows repeat, other columns
-    are ignored.
+    Text that is null or has no letter gets `und` and 0. Of equally probable labels the first in the alphabet is taken.
+    Very long texts are counted in parts. Null ids pass through, repeated rows repeat, other columns are ignored; an
+    empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS features times the labels
