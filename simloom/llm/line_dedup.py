@@ -30,24 +30,35 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Characters beyond ASCII that `lower` might change.
+_OTHER_CAPITALS = "[^\\x00-\\x7F&&[\\p{Lu}\\p{Lt}\\p{So}\\p{Nl}]]"
+
+
 def _plain(c: Column) -> Column:
-    """A-Z as a-z; `lower` does the same faster where all is ASCII."""
-    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
+    """A-Z as a-z; `lower` does the same faster where there are no other capitals."""
+    return F.when((F.octet_length(c) == F.char_length(c)) | ~c.rlike(_OTHER_CAPITALS), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
+
+
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with a column that is evaluated once a row, whatever refers to it: a generated one isn't merged into others."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, mark (a hash of the text, which tells rows of one id apart) and text; null text is empty."""
+    """row (the id and a hash of the text, which tells rows of one id apart) and text; null text is empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    return rows.select(F.struct("id", F.xxhash64("text").alias("mark")).alias("row"), "text")
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """at (id, mark, number of the line) and line of each line that has a word; lines end at line feeds. White space
+    """at (row and number of the line) and line of each line that has a word; lines end at line feeds. White space
     within lines is one space each, none at the ends; A-Z are in lower case."""
-    lines = rows.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    run = "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+"  # lone spaces stay as they are
-    line = _plain(F.trim(F.regexp_replace("line", run, " ")))
-    return lines.select(F.struct("id", "mark", "pos").alias("at"), line.alias("line")).filter("line <> ''")
+    run = "[\\x09\\x0B-\\x0D][\\x20\\x09\\x0B-\\x0D]*|\\x20[\\x20\\x09\\x0B-\\x0D]+"  # lone spaces stay as they are
+    texts = _once(rows, F.regexp_replace("text", run, " "), "even")
+    lines = texts.select("row", F.posexplode(F.split("even", "\n")).alias("pos", "raw"))
+    lines = _once(lines, _plain(F.trim("raw")), "line").filter("line <> ''")
+    return lines.select(F.struct("row.id", "row.mark", "pos").alias("at"), "line")
 
 
 def _cell(h: Column) -> Column:
@@ -94,12 +105,11 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     rows = _rows(docs, id_col, text_col)
     lines = _lines(rows)
     ranks = _ranks(lines)
-    key = F.unhex(F.md5("line"))
     n = F.size("tokens")
     reach = n - F.ceil(n * percent / 100).cast("int") + 1
     # Only the prefix of a line's tokens goes through the shuffle that folds equal lines, not its text.
-    sets = lines.select("at", key.alias("key"), _tokens(F.col("line"), words, ranks).alias("tokens"))
-    sets = sets.select("at", "key", n.alias("n"), F.slice("tokens", 1, reach).alias("prefix"))
+    sets = _once(lines, _tokens(F.col("line"), words, ranks), "tokens")
+    sets = settle(sets.select("at", F.unhex(F.md5("line")).alias("key"), n.alias("n"), F.slice("tokens", 1, reach).alias("prefix")), "line-prefixes")
     some = F.struct("at", "n", "prefix")  # equal lines have equal tokens
     first = sets.groupBy("key").agg(F.min(some).alias("own"), F.count("*").alias("copies"))
     first = settle(first.select("key", "own.*", "copies"), "line-classes")
@@ -117,9 +127,12 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     )
     pairs = settle(pairs.select("a_key", "b_key").distinct(), "line-pairs")
     drop_settled(twice, shared)
-    asked = pairs.select(F.explode(F.array("a_key", "b_key")).alias("id")).distinct()
-    texts = only_ids(lines.select(key.alias("key"), "line"), "key", asked).dropDuplicates(["key"])
-    whole = settle(texts.select("key", _tokens(F.col("line"), words, ranks).alias("tokens")), "line-sets")
+    # The lines to verify are made anew, from the texts that they stand in first.
+    asked = pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
+    asked = settle(first.select("key", "at").join(asked, "key", "left_semi"), "line-asked")
+    some_rows = only_ids(rows, "row", asked.select(F.struct("at.id", "at.mark").alias("id")).distinct())
+    texts = _lines(some_rows).join(asked, "at").dropDuplicates(["key"])
+    whole = settle(_once(texts, _tokens(F.col("line"), words, ranks), "tokens").select("key", "tokens"), "line-sets")
     both = pairs.join(whole.select(F.col("key").alias("a_key"), F.col("tokens").alias("x")), "a_key")
     both = both.join(whole.select(F.col("key").alias("b_key"), F.col("tokens").alias("y")), "b_key")
     common = F.size(F.array_intersect("x", "y"))
@@ -128,15 +141,14 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     # A line goes where its class is not first, or follows a similar one.
     goes = first.join(later, "key", "left").filter("copies > 1 or later").select("key", "later", F.col("at").alias("first"))
     goes = settle(goes, "line-goes")
-    drop_settled(pairs, whole)
-    keyed = marked(lines.select("at", key.alias("key")), "key", goes.select(F.col("key").alias("id"))).filter("_hit").drop("_hit")
+    drop_settled(pairs, whole, asked)
+    keyed = marked(sets.select("at", "key"), "key", goes.select(F.col("key").alias("id"))).filter("_hit").drop("_hit")
     gone = keyed.join(goes, "key").filter("later or at <> first").select("at")
-    gone = settle(gone.groupBy("at.id", "at.mark").agg(F.collect_set("at.pos").alias("gone")), "line-gone")
-    drop_settled(first)
-    split = rows.withColumn("row", F.struct("id", "mark"))
-    ids = gone.select(F.struct("id", "mark").alias("id"))
-    clean = without_ids(split, "row", ids).select("id", "text", F.array().cast("array<int>").alias("gone"))
-    cut = only_ids(split, "row", ids).join(gone.select(F.struct("id", "mark").alias("row"), "gone"), "row").select("id", "text", "gone")
+    gone = settle(gone.groupBy(F.struct("at.id", "at.mark").alias("row")).agg(F.collect_set("at.pos").alias("gone")), "line-gone")
+    drop_settled(first, sets)
+    ids = gone.select(F.col("row").alias("id"))
+    clean = without_ids(rows, "row", ids).select("row.id", "text", F.array().cast("array<int>").alias("gone"))
+    cut = only_ids(rows, "row", ids).join(gone, "row").select("row.id", "text", "gone")
 
     def finished(found: DataFrame) -> DataFrame:
         parts = F.split("text", "\n")
