@@ -3,8 +3,8 @@
 A line's tokens are its distinct shingles of five words (the whole line if it has fewer). Tokens are put in one order
 for all lines, rarest first; two lines with a Jaccard similarity of t share a token among their first n - ceil(t n) + 1.
 
-A token is a number: in its high bits how often the rarest of its words occurs, as a power of two, which no token can
-exceed in frequency; in its low bits a hash of its words. So the order of the numbers is the order of the tokens.
+A token is a number: in its high bits how often the rarer of its first and last word occurs, as a power of two, which no
+token can exceed in frequency; in its low bits a hash of its words. So the order of the numbers is the order of the tokens.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _cell(h: Column) -> Column:
-    return F.pmod(h, F.lit(CELLS)).cast("int")
+    return h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
 def _ranks(lines: DataFrame) -> Column:
@@ -74,17 +74,20 @@ def _ranks(lines: DataFrame) -> Column:
 
 def _tokens(line: Column, k: int, ranks: Column) -> Column:
     """A line's tokens, ascending."""
-    low = F.lit((1 << HASH_BITS) - 1)
+    low, high = F.lit((1 << HASH_BITS) - 1), F.lit(~((1 << HASH_BITS) - 1))
 
     def word(w: Column) -> Column:
         return _let(F.xxhash64(w), lambda h: F.shiftleft(F.get(ranks, _cell(h)).cast("bigint"), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))
 
-    def token(own: Column) -> Column:
-        return F.array_min(own).bitwiseAND(F.lit(~((1 << HASH_BITS) - 1))).bitwiseOR(F.xxhash64(own).bitwiseAND(low))
+    def token(own: Column, i: Column, last: Column) -> Column:
+        """The token of the words from i on, k at most."""
+        hashed = F.xxhash64(*(F.get(own, i + j) for j in range(k)))
+        return F.least(F.get(own, i), last).bitwiseAND(high).bitwiseOR(hashed.bitwiseAND(low))
 
-    def shingled(words: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: _let(F.slice(words, i, k), token))
-        return F.when(F.size(words) > k, F.sort_array(F.array_distinct(many))).otherwise(F.array(token(words)))
+    def shingled(own: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(own) - k), lambda i: token(own, i, F.get(own, i + (k - 1))))
+        few = F.array(token(own, F.lit(0), F.get(own, F.size(own) - 1)))
+        return F.when(F.size(own) > k, F.sort_array(F.array_distinct(many))).otherwise(few)
 
     return _let(F.transform(F.split(line, " "), word), shingled)
 
