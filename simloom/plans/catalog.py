@@ -48,6 +48,25 @@ NOISY_D = """0.5 * CASE WHEN p_size = 25 THEN 0 ELSE (abs(p_size - 25) + 0.5 * e
 NEAR_SQL = f"""WITH d AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j, {SUPPLIER_D} AS d FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d)"""
 
+#: Contributions of all rows (dc), and of each row i among the rows but h (wo); p and q are the two distributions.
+KL_SQL = f"""{NEAR_SQL}, dc AS (SELECT i, avg(d) AS dc, sum(avg(d)) OVER () AS s, count(*) OVER () AS n FROM r WHERE r <= 5 GROUP BY i),
+f AS (SELECT h.s_suppkey AS h, r.i, r.d, row_number() OVER (PARTITION BY h.s_suppkey, r.i ORDER BY r.r) AS k
+      FROM supplier h JOIN r ON r.i <> h.s_suppkey AND r.j <> h.s_suppkey AND r.r <= 6),
+wo AS (SELECT h, i, avg(d) AS dc FROM f WHERE k <= 5 GROUP BY h, i),
+pq AS (SELECT wo.h, dc.dc / dc.s AS p, wo.dc / sum(wo.dc) OVER (PARTITION BY wo.h) * (dc.n - 1) / dc.n AS q FROM wo JOIN dc USING (i)
+       UNION ALL SELECT i, dc / s, 1.0 / n FROM dc),
+kl AS (SELECT h AS s_suppkey, greatest(sum(q * ln(q / p)), 0) AS kl, greatest(sum(p * ln(p / q)), 0) AS removal FROM pq GROUP BY h)"""
+GROUP_KL_SQL = f"""{NEAR_SQL}, dc AS (SELECT i, avg(d) AS dc, sum(avg(d)) OVER () AS s, count(*) OVER () AS n FROM r WHERE r <= 5 GROUP BY i),
+f AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY r) AS k FROM r WHERE i >= 5 AND j >= 5),
+own AS (SELECT i, avg(d) AS own, sum(avg(d)) OVER () AS t, count(*) OVER () AS m FROM f WHERE k <= 5 GROUP BY i),
+pq AS (SELECT dc / s AS p, coalesce(own / t * m / n, 1.0 / n) AS q FROM dc LEFT JOIN own USING (i))
+SELECT round(greatest(sum(q * ln(q / p)), 0), 9) AS kl FROM pq"""
+#: At most 20 neighbours can have a share of 0.05; they end where one fades.
+BANDWIDTH_SQL = f"""WITH d AS (SELECT p_partkey, p_size, {PART_D} AS d FROM part ORDER BY d, p_partkey LIMIT 20),
+q AS (SELECT *, CASE WHEN d = 0 THEN 'inf'::DOUBLE ELSE 1 / d END AS q, row_number() OVER (ORDER BY d, p_partkey) AS r FROM d),
+w AS (SELECT *, sum(q) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS total, lag(q) OVER (ORDER BY r) AS prev, first(q) OVER (ORDER BY r) AS q1 FROM q),
+e AS (SELECT min(r) AS stop FROM w WHERE r > 3 AND total > 1.25 AND (q / total < 0.05 OR (q1 - q) / q1 >= 0.2) AND q <> prev)
+SELECT p_partkey, round(q * p_size, 6) AS distance FROM w, e WHERE r < coalesce(stop, 1000)"""
 GAPS = "WITH v AS (SELECT DISTINCT value AS v FROM events), g AS (SELECT lead(v) OVER (ORDER BY v) - v AS gap FROM v)"
 
 
@@ -132,17 +151,18 @@ QUERIES = {
                             f"SELECT p_partkey, round(exp(-({NOISY_D})), 6) AS distance FROM part ORDER BY {NOISY_D}, p_partkey LIMIT 20"),
     "nearest_to_row": (on("supplier", lambda q: rounded(q.nearest_to(10, SUPPLIER, 5))),
                        f"SELECT b.s_suppkey, round({SUPPLIER_D}, 6) AS distance FROM supplier a JOIN supplier b ON a.s_suppkey = 5 AND b.s_suppkey <> 5 ORDER BY {SUPPLIER_D}, b.s_suppkey LIMIT 10"),
-    "nearest_bandwidth": (on("part", lambda q: rounded(q.nearest([0.05, 3, 30], PART, (25, 1000.0), p=2, exponent=-1, weight="p_size"))), None),
+    "nearest_bandwidth": (on("part", lambda q: rounded(q.nearest([0.05, 3, 30], PART, (25, 1000.0), p=2, exponent=-1, weight="p_size"))), BANDWIDTH_SQL),
     "position_contributions": (lambda spark, sf_dir: rounded(Query(read(spark, sf_dir, "part"), "p_partkey").position_contributions(
         spark.createDataFrame([(0, 25, 1000.0), (1, 1, 950.0)], "position int, p_size int, p_retailprice double"), 5, PART, p=2, exponent=1.0)),
         """WITH q(position, s, r) AS (VALUES (0, 25, 1000.0::DOUBLE), (1, 1, 950.0::DOUBLE)), d AS (SELECT position, p_partkey, sqrt((p_size - s) * (p_size - s) + 0.01 * (p_retailprice - r) * (p_retailprice - r)) AS d FROM part, q),
         r AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY d, p_partkey) AS r FROM d)
         SELECT position, round(avg(d) FILTER (d > 0) / (count(*) FILTER (d = 0) + 1), 6) AS dc FROM r WHERE r <= 5 GROUP BY 1"""),
     "distance_contributions": (on("supplier", lambda q: rounded(q.distance_contributions(5, SUPPLIER))), f"{NEAR_SQL} SELECT i AS s_suppkey, round(avg(d), 6) AS dc FROM r WHERE r <= 5 GROUP BY i"),
-    "kl_divergences": (on("supplier", lambda q: rounded(q.kl_divergences(5, SUPPLIER), 9)), None),
-    "kl_removal": (on("supplier", lambda q: rounded(q.kl_divergences(5, SUPPLIER, removal=True), 9)), None),
-    "convictions": (on("supplier", lambda q: rounded(q.convictions(5, SUPPLIER))), None),
-    "group_kl": (on("supplier", lambda q: rounded(q.group_kl(list(range(5)), 5, SUPPLIER), 9)), None),
+    "kl_divergences": (on("supplier", lambda q: rounded(q.kl_divergences(5, SUPPLIER), 9)), f"{KL_SQL} SELECT s_suppkey, round(kl, 9) AS kl FROM kl"),
+    "kl_removal": (on("supplier", lambda q: rounded(q.kl_divergences(5, SUPPLIER, removal=True), 9)), f"{KL_SQL} SELECT s_suppkey, round(removal, 9) AS kl FROM kl"),
+    "convictions": (on("supplier", lambda q: rounded(q.convictions(5, SUPPLIER))),
+        f"{KL_SQL} SELECT s_suppkey, round(CASE WHEN kl = 0 THEN 0 ELSE avg(kl) OVER () / kl END, 6) AS conviction FROM kl"),
+    "group_kl": (on("supplier", lambda q: rounded(q.group_kl(list(range(5)), 5, SUPPLIER), 9)), GROUP_KL_SQL),
     "cumulative_weights": (on("supplier", lambda q: rounded(q.cumulative_weights(5, SUPPLIER))),
         f"{NEAR_SQL}, t AS (SELECT i, j, 1 / d / sum(1 / d) OVER (PARTITION BY i) AS w FROM r WHERE r <= 5) SELECT j AS s_suppkey, round(sum(w), 6) AS weight FROM t GROUP BY j"),
     "clusters": (on("supplier", lambda q: q.clusters(5, 4.0, SUPPLIER)), None),

@@ -86,7 +86,8 @@ SCALARS = {
     "log": (NUMBERS, lambda: near(M.log(c("p_retailprice"))), "round(ln(p_retailprice), 6)"),
     "log_base": (NUMBERS, lambda: near(M.log(c("p_retailprice"), 2)), "round(log2(p_retailprice), 6)"),
     "log_of_zero": (NUMBERS, lambda: M.log(c("p_size") * 0), "'-inf'::DOUBLE"),
-    "erf": (NUMBERS, lambda: F.round(M.erf(c("p_size") / 50), 9), None),
+    "erf": (NUMBERS, lambda: F.round(M.erf(c("p_size") / 50), 9),
+        "round(1.1283791670955126 * list_sum(list_transform(range(0, 40), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow(p_size / 50, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))), 9)"),
     "gamma": (NUMBERS, lambda: near(M.gamma(c("p_size") % 7 + 1.5)), "round(gamma(p_size % 7 + 1.5), 6)"),
     "lgamma": (NUMBERS, lambda: near(M.lgamma(c("p_size") + 0.5)), "round(lgamma(p_size + 0.5), 6)"),
     "sqrt": (ACCOUNTS, lambda: near(M.sqrt(c("c_acctbal"))), "CASE WHEN c_acctbal >= 0 THEN round(sqrt(c_acctbal), 6) END"),
