@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, slices, table, text_rows
+from .common import release, settle, slices, table, text_rows, trimmed
 
 #: Words in the code book at most: the most frequent ones. Rarer words are folded where they stand.
 BOOK = 500_000
@@ -263,7 +263,7 @@ def count_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
                     yield from flush()
         yield from flush()
 
-    made = text_rows(docs, text_col, text_col).select("body").mapInArrow(work, "word string, n bigint")
+    made = text_rows(docs, text_col, text_col).select("body").mapInArrow(trimmed(work), "word string, n bigint")
     return made.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -393,6 +393,7 @@ def encode_documents(
     top = most_frequent(words, book_words).select("word").repartition(4 * spark.sparkContext.defaultParallelism, "word")
     folded = settle(top.select("word", F.get(fold_merges(F.array(byte_ids(F.col("word"), mapped.of_byte)), mapped), F.lit(0)).alias("ids")), "bpe-book")
     shared = spark.sparkContext.broadcast((ranks_path, Book.of(folded.toArrow())))  # book_words at most
+    release()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, book = shared.value
@@ -422,17 +423,17 @@ def encode_documents(
                     names=["id", "codes", "words"],
                 )
 
-    cut = text_rows(docs, id_col, text_col).mapInArrow(work, f"id {kind}, codes array<int>, words array<array<int>>")
+    cut = text_rows(docs, id_col, text_col).mapInArrow(trimmed(work), f"id {kind}, codes array<int>, words array<array<int>>")
     filled = cut.select("id", "codes", fold_merges(F.col("words"), mapped).alias("rare"))
     if finish is None:
-        return filled.mapInArrow(_fill, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+        return filled.mapInArrow(trimmed(_fill), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
     schema, function = finish
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _fill(batches):
             yield function(batch)
 
-    return filled.mapInArrow(finished, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    return filled.mapInArrow(trimmed(finished), f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
 def decoder(ranks_path: str):

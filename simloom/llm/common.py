@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -115,6 +117,28 @@ def without_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return split.filter("not _hit").drop("_hit").union(unsure.select(*rows.columns))
 
 
+def release() -> None:
+    """Gives memory that is free back to the system; the process may stay for other work, or idle beside it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such function
+        pass
+
+
+def trimmed(work):
+    """A function of batches that gives memory back once the task has its last batch."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def slices(column: pa.Array, most_bytes: int = 8 << 20):
     """Cuts a binary column into ranges of rows that hold about most_bytes, one row at least."""
     start, held = 0, 0

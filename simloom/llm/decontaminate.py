@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_bytes, settle, slices, table, text_rows
+from .common import as_bytes, settle, slices, table, text_rows, trimmed
 
 # Bytes of words after lower-casing A-Z are digits, a-z and all bytes of characters beyond ASCII.
 _WORD = bytes(b"0123456789abcdefghijklmnopqrstuvwxyz") + bytes(range(0x80, 0x100))
@@ -213,7 +213,7 @@ def _match_block(rows: DataFrame, items: list[tuple], item_kind: T.DataType, win
             yield from flush(ids, bodies)
 
     return rows.mapInArrow(
-        work, f"id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<{item_kind.simpleString()}>"
+        trimmed(work), f"id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<{item_kind.simpleString()}>"
     )
 
 

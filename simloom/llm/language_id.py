@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, settle, slices, table, text_rows
+from .common import as_bytes, release, settle, slices, table, text_rows, trimmed
 
 #: n-grams are hashed to 2 ** BITS features.
 BITS = 16
@@ -204,7 +204,7 @@ def fit_language_model(docs: DataFrame, label_col: str = "lang", id_col: str = "
     def _row(label, h, packed) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([label], pa.string()), pa.array([h], pa.int64()), pa.array([packed], pa.binary())], names=["label", "h", "packed"])
 
-    made = settle(picked.mapInArrow(work, "label string, h bigint, packed binary"), "language-features")
+    made = settle(picked.mapInArrow(trimmed(work), "label string, h bigint, packed binary"), "language-features")
     df, n_docs = _frequencies(made.filter("label is null"))
     idf = np.log((1 + n_docs) / (1 + df)) + 1.0
     sample = sorted((r["label"], r["h"], bytes(r["packed"])) for r in made.filter("label is not null").collect())
@@ -221,6 +221,8 @@ def fit_language_model(docs: DataFrame, label_col: str = "lang", id_col: str = "
     check = np.flatnonzero(hold) if hold.any() else fit
     full = np.vstack([weights, bias])
     temperature = calibrate(np.array([rows[i][1] @ full[rows[i][0]] for i in check]), ys[check]) if len(check) else 1.0
+    del rows, sample
+    release()
     return Model(labels, (weights * (idf * SCALE)[:, None]).astype(np.float32), bias, max(temperature, 0.02))
 
 
@@ -243,7 +245,7 @@ def _frequencies(parts: DataFrame) -> tuple[np.ndarray, int]:
                 n += h
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([n], pa.int64()), pa.array([df.tobytes()], pa.binary())], names=["label", "h", "packed"])
 
-    summed = parts.coalesce(SUMS).mapInArrow(add, "label string, h bigint, packed binary")
+    summed = parts.coalesce(SUMS).mapInArrow(trimmed(add), "label string, h bigint, packed binary")
     df, n = np.zeros(1 << BITS, np.int64), 0
     for r in summed.toLocalIterator():
         df, n = df + np.frombuffer(bytes(r["packed"]), np.int64), n + r["h"]
@@ -270,7 +272,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 found, score = shared.value.predict(batch.column(1)[a:b].to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(found, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
 
-    return text_rows(docs, id_col, text_col).mapInArrow(work, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return text_rows(docs, id_col, text_col).mapInArrow(trimmed(work), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

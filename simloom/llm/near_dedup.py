@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only_ids, settle, slices, table, text_rows
+from .common import only_ids, settle, slices, table, text_rows, trimmed
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Hashes of full sets that meet in a task (8 bytes each); nodes with more are compared in blocks of half as many.
@@ -138,7 +138,7 @@ def sketch(docs: DataFrame, coordinates: int, id_col: str, text_col: str, with_s
                     more = pa.array([signature(x, salts).tobytes() if len(x) else None for x in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], n, twins, more], names=["id", "n", "twin", "more"])
 
-    return text_rows(docs, id_col, text_col).mapInArrow(work, f"id {kind}, n bigint, twin binary, more binary")
+    return text_rows(docs, id_col, text_col).mapInArrow(trimmed(work), f"id {kind}, n bigint, twin binary, more binary")
 
 
 def components(links: DataFrame, spark: SparkSession, name: str) -> DataFrame:
@@ -233,7 +233,7 @@ def _likely(members: DataFrame, kind: str, percent: int, least: int) -> DataFram
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    return members.repartition("node").sortWithinPartitions("node").mapInArrow(work, MEMBER.format(kind=kind))
+    return members.repartition("node").sortWithinPartitions("node").mapInArrow(trimmed(work), MEMBER.format(kind=kind))
 
 
 def _linked(members: DataFrame, kind: str, percent: int, least: int) -> DataFrame:
@@ -268,7 +268,7 @@ def _linked(members: DataFrame, kind: str, percent: int, least: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), ids.take(pa.array(second))], names=["a", "b"])
 
     members = members.repartition("node").sortWithinPartitions("node").select("node", "cid", "n", "root", "side", "trees", "seen", "sig", "set")
-    return members.mapInArrow(work, f"a {kind}, b {kind}")
+    return members.mapInArrow(trimmed(work), f"a {kind}, b {kind}")
 
 
 #: The share of pairs just at the threshold that signatures may rule out.

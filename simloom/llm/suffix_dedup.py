@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_settled, marked, only_ids, settle, slices, table, text_rows, without_ids
+from .common import as_bytes, drop_settled, marked, only_ids, settle, slices, table, text_rows, trimmed, without_ids
 
 LENGTH, ANCHOR = 200, 64
 REACH = LENGTH - ANCHOR  # starts lie 0 to 136 bytes before their anchor
@@ -210,7 +210,7 @@ def _find_anchors(rows: DataFrame, kind: str) -> DataFrame:
                 names=["id", "place", "key", "far", "near", "around"],
             )
 
-    return rows.mapInArrow(work, f"id {kind}, place bigint, key bigint, far smallint, near smallint, around bigint")
+    return rows.mapInArrow(trimmed(work), f"id {kind}, place bigint, key bigint, far smallint, near smallint, around bigint")
 
 
 def _key_bits(keys: DataFrame) -> np.ndarray:
@@ -266,7 +266,7 @@ def _cut_blocks(rows: DataFrame, kind: str, keys: DataFrame) -> DataFrame:
             )
 
     return rows.mapInArrow(
-        work, f"id {kind}, place bigint, key bigint, block smallint, core bigint, left binary, right binary, first smallint, last smallint"
+        trimmed(work), f"id {kind}, place bigint, key bigint, block smallint, core bigint, left binary, right binary, first smallint, last smallint"
     )
 
 
@@ -316,7 +316,7 @@ def _decide(variants: DataFrame) -> DataFrame:
         return out.filter(pa.array([x > 0 for x in bits], pa.bool_()))
 
     placed = variants.repartition("key", "block", "core", "low", "own").sortWithinPartitions(*GROUP)
-    return placed.select("key", "block", "core", "left", "right", "n", "low", "high", "own").mapInArrow(work, VARIANT + ", bits int")
+    return placed.select("key", "block", "core", "left", "right", "n", "low", "high", "own").mapInArrow(trimmed(work), VARIANT + ", bits int")
 
 
 def _ranged(variants: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
     cut = only_ids(rows, "id", ids).join(listed, "id").select("id", "body", "spans")
-    cut = cut.mapInArrow(work, f"id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    cut = cut.mapInArrow(trimmed(work), f"id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     out = clean.union(cut)
     return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "spans", "kept")
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, settle, slices, table, text_rows
+from .common import scratch_path, settle, slices, table, text_rows, trimmed
 
 # Fixed values of the seekable zstandard format.
 INDEX_MAGIC = 0x184D2A50
@@ -140,7 +140,7 @@ def encode_frames(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "
                     names=["id", "n", "frame", "low"],
                 )
 
-    return text_rows(docs, id_col, text_col).mapInArrow(work, f"id {kind}, n bigint, frame binary, low bigint")
+    return text_rows(docs, id_col, text_col).mapInArrow(trimmed(work), f"id {kind}, n bigint, frame binary, low bigint")
 
 
 def shard_bytes(shard: int, ids: list, counts: list[int], frames: list[bytes], lows: list[int]) -> bytes:
@@ -198,7 +198,7 @@ def write_token_files(
             yield flush()
 
     ranged = frames.repartitionByRange(parts, "id", "low").sortWithinPartitions("id", "low").select(F.col("id").cast("bigint"), "n", "frame", "low")
-    files = ranged.mapInArrow(work, "value binary").select(F.col("value").cast("string"))
+    files = ranged.mapInArrow(trimmed(work), "value binary").select(F.col("value").cast("string"))
     files.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", SEEK_MAGIC.decode("latin-1")).text(path)
 
 
@@ -236,7 +236,7 @@ def read_token_files(spark: SparkSession, path: str, ids: list[int] | None = Non
                     )
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(work, "shard bigint, doc_id bigint, at bigint, n_tokens bigint, tokens binary")
+    return files.mapInArrow(trimmed(work), "shard bigint, doc_id bigint, at bigint, n_tokens bigint, tokens binary")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
