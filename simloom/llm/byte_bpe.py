@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import release, settle, slices, table, text_rows, trimmed
 
 #: Words in the code book at most: the most frequent ones. Rarer words are folded where they stand.
-BOOK = 500_000
+BOOK = 800_000
 #: Words of more bytes are split by a heap in Python instead: the fold's time grows with the square of the length.
 FOLDED_BYTES = 256
-#: Entries of a worker's cache from pieces of text to ids.
-CACHE = 160_000
+#: Entries of a worker's cache from pieces of text to ids; past that it starts anew, but for what the last one still gives.
+CACHE = 100_000
 #: Distinct pieces that a task counts before it passes its counts on.
 COUNTED = 200_000
 
@@ -292,7 +292,7 @@ class Book:
 
     @staticmethod
     def of(folded: pa.Table) -> Book:
-        hashes = _hashes(folded.column("word").to_pylist())
+        hashes = np.concatenate([np.empty(0, np.uint64), *(_hashes(x.to_pylist()) for x in folded.column("word").chunks)])
         order = pa.array(np.argsort(hashes, kind="stable"))
         words, ids = (folded.column(c).combine_chunks().take(order) for c in ("word", "ids"))
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int32)
@@ -324,6 +324,7 @@ class _Codes:
     def __init__(self, book: Book, own: dict[bytes, int], find, before: str, rare: list[bytes]):
         self.book, self.own, self.find, self.before, self.rare = book, own, find, before, rare
         self.kept: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
         self.passing: list[str] = []
 
     def of(self, texts: list[list[str]]):
@@ -332,10 +333,15 @@ class _Codes:
             del self.kept[piece]
         self.passing = []
         seen = set().union(*texts)
-        fresh = [x for x in seen if x not in self.kept]
-        if len(self.kept) + len(fresh) > CACHE:
-            self.kept, fresh = {}, list(seen)
-        words, counts = [], []
+        missing = seen - self.kept.keys()
+        if len(self.kept) + len(missing) > CACHE:
+            self.last, self.kept, missing = self.kept, {}, seen
+        fresh, words, counts = [], [], []
+        for piece in missing:
+            if (known := self.last.get(piece)) is None:
+                fresh.append(piece)
+            else:
+                self.kept[piece] = known
         for piece in fresh:
             if piece.isalpha():  # one match, whatever stands around it
                 words.append(self.before + piece)
