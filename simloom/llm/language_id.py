@@ -182,7 +182,7 @@ def fit_language_model(docs: DataFrame, label_col: str = "lang", id_col: str = "
         """Rows of the sample, with their features, and one row a task with the documents' number and frequencies."""
         df, n_docs = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 1 << 20):  # about 50 bytes of features a character
                 bodies = batch.column(1)[a:b].to_pylist()
                 grams, starts, has = ngram_features([b"" if len(x) > LONG else x for x in bodies])
                 chosen = batch.column(2)[a:b].to_pylist()
