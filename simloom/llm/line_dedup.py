@@ -97,7 +97,7 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
 
     Equal lines (but for the case of A-Z and for white space) fold into one class with its first place. Counts of all
     words, in a table of a fixed size, give the order; the prefix rows are joined on the token, with the length and
-    positional filters in the join; what is left is verified on full sets, made anew for those lines alone. Only texts
+    positional filters in the join; what is left is verified on full sets, made for those lines alone. Only texts
     that lose lines are shuffled.
 
     Returns one row per input row: ``id_col``, n_lines, n_removed and kept (the lines that stay, joined by line feeds).
@@ -106,7 +106,7 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     come first. A very long line is one row with as many tokens. Other columns are ignored; no rows give no rows.
     """
     rows = _rows(docs, id_col, text_col)
-    lines = _lines(rows)
+    lines = settle(_lines(rows), "line-lines")
     ranks = _ranks(lines)
     n = F.size("tokens")
     reach = n - F.ceil(n * percent / 100).cast("int") + 1
@@ -130,11 +130,10 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     )
     pairs = settle(pairs.select("a_key", "b_key").distinct(), "line-pairs")
     drop_settled(twice, shared)
-    # The lines to verify are made anew, from the texts that they stand in first.
     asked = pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
     asked = settle(first.select("key", "at").join(asked, "key", "left_semi"), "line-asked")
-    some_rows = only_ids(rows, "row", asked.select(F.struct("at.id", "at.mark").alias("id")).distinct())
-    texts = _lines(some_rows).join(asked, "at").dropDuplicates(["key"])
+    texts = marked(lines, "at", asked.select(F.col("at").alias("id"))).filter("_hit").drop("_hit")
+    texts = texts.join(asked, "at").dropDuplicates(["key"])
     whole = settle(_once(texts, _tokens(F.col("line"), words, ranks), "tokens").select("key", "tokens"), "line-sets")
     both = pairs.join(whole.select(F.col("key").alias("a_key"), F.col("tokens").alias("x")), "a_key")
     both = both.join(whole.select(F.col("key").alias("b_key"), F.col("tokens").alias("y")), "b_key")
@@ -144,7 +143,7 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     # A line goes where its class is not first, or follows a similar one.
     goes = first.join(later, "key", "left").filter("copies > 1 or later").select("key", "later", F.col("at").alias("first"))
     goes = settle(goes, "line-goes")
-    drop_settled(pairs, whole, asked)
+    drop_settled(pairs, whole, asked, lines)
     keyed = marked(sets.select("at", "key"), "key", goes.select(F.col("key").alias("id"))).filter("_hit").drop("_hit")
     gone = keyed.join(goes, "key").filter("later or at <> first").select("at")
     gone = settle(gone.groupBy(F.struct("at.id", "at.mark").alias("row")).agg(F.collect_set("at.pos").alias("gone")), "line-gone")
