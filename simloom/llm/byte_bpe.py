@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import release, settle, slices, table, text_rows, trimmed
 
 #: Words in the code book at most: the most frequent ones. Rarer words are folded where they stand.
-BOOK = 800_000
+BOOK = 500_000
 #: Words of more bytes are split by a heap in Python instead: the fold's time grows with the square of the length.
 FOLDED_BYTES = 256
 #: Entries of a worker's cache from pieces of text to ids; past that it starts anew, but for what the last one still gives.
