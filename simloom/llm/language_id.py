@@ -207,12 +207,13 @@ def fit_language_model(docs: DataFrame, label_col: str = "lang", id_col: str = "
     made = settle(picked.mapInArrow(trimmed(work), "label string, h bigint, packed binary"), "language-features")
     df, n_docs = _frequencies(made.filter("label is null"))
     idf = np.log((1 + n_docs) / (1 + df)) + 1.0
-    sample = sorted((r["label"], r["h"], bytes(r["packed"])) for r in made.filter("label is not null").collect())
+    sample = sorted(((r["label"], r["h"], bytes(r["packed"])) for r in made.filter("label is not null").toLocalIterator()), reverse=True)
     rows, ys, hold = [], [], []
-    for label, h, packed in sample:
+    while sample:  # a row's counts go as its features come
+        label, h, packed = sample.pop()
         at, tf = np.frombuffer(packed, np.int32).reshape(2, -1)
-        value = tf / tf.sum() * idf[at]
-        rows.append((np.append(at, 1 << BITS), np.append(value * SCALE, 1.0)))
+        value = tf / tf.sum() * idf[at] * SCALE
+        rows.append((np.append(at, np.int32(1 << BITS)), np.append(value, 1.0).astype(np.float32)))
         ys.append(labels.index(label))
         hold.append(h % 5 == 0)
     ys, hold = np.array(ys), np.array(hold)
@@ -221,7 +222,7 @@ def fit_language_model(docs: DataFrame, label_col: str = "lang", id_col: str = "
     check = np.flatnonzero(hold) if hold.any() else fit
     full = np.vstack([weights, bias])
     temperature = calibrate(np.array([rows[i][1] @ full[rows[i][0]] for i in check]), ys[check]) if len(check) else 1.0
-    del rows, sample
+    del rows
     release()
     return Model(labels, (weights * (idf * SCALE)[:, None]).astype(np.float32), bias, max(temperature, 0.02))
 
