@@ -6,8 +6,10 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +62,44 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _forget_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Seconds between two collections of the driver's garbage, and when the last one was.
+COLLECT_S = 2.0
+_collected = [0.0]
+
+
+def _forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over, which it does once the driver's JVM has collected its
+    garbage; by itself that may be half an hour later. The JVM and Python give free memory back, too."""
+    if time.monotonic() - _collected[0] >= COLLECT_S:
+        release()
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
+def number_array(values, kind: str) -> Column:
+    """A literal array of numbers; kind is int or bigint.
+
+    Spark keeps it as one block of bytes. A literal made by array() or from_json() is an object a number instead, which
+    every task unpacks one by one and every plan's text spells out.
+    """
+    from pyspark.sql.classic.column import Column as Classic
+
+    spark = SparkSession.active()
+    jvm, wide = spark._jvm, kind == "bigint"
+    raw = np.asarray(values).astype(">i8" if wide else ">i4")
+    made = spark.sparkContext._gateway.new_array(jvm.long if wide else jvm.int, len(raw))
+    buffer = jvm.java.nio.ByteBuffer.wrap(raw.tobytes())
+    (buffer.asLongBuffer() if wide else buffer.asIntBuffer()).get(made)
+    catalyst = jvm.org.apache.spark.sql.catalyst.expressions
+    packed = catalyst.UnsafeArrayData.fromPrimitiveArray(made)
+    literal = catalyst.Literal(packed, jvm.org.apache.spark.sql.types.DataType.fromDDL(f"array<{kind}>"))
+    return Classic(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+
+
 def drop_settled(*tables: DataFrame) -> None:
     """Deletes tables that settle wrote, once nothing reads them any more."""
     for df in tables:

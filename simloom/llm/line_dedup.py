@@ -9,27 +9,22 @@ token can exceed in frequency; in its low bits a hash of its words. So the order
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_settled, marked, only_ids, settle, table, without_ids
+from .common import drop_settled, marked, number_array, only_ids, settle, table
 
 #: Cells of the table of word counts, a fixed size. Words that share a cell only make the order less sharp: any order
 #: that is the same for all lines gives exact results.
 CELLS = 1 << 16
 #: Low bits of a token.
 HASH_BITS = 56
+#: More entries than an array has.
+MOST = 1 << 30
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 #: Characters beyond ASCII that `lower` might change.
 _OTHER_CAPITALS = "[^\\x00-\\x7F&&[\\p{Lu}\\p{Lt}\\p{So}\\p{Nl}]]"
 
@@ -66,30 +61,48 @@ def _cell(h: Column) -> Column:
 
 
 def _ranks(lines: DataFrame) -> Column:
-    """For each cell, how often its words occur in all lines, as a power of two; a literal array of CELLS numbers."""
+    """For each cell, how often its words occur in all lines, as a power of two, in the high bits of a token; a literal
+    array of CELLS numbers."""
     words = lines.select(F.explode(F.split("line", " ")).alias("w")).select(_cell(F.xxhash64("w")).alias("cell"))
     found = {r["cell"]: r["n"] for r in words.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS at most
-    return F.from_json(F.lit(json.dumps([int(found.get(i, 1)).bit_length() for i in range(CELLS)])), "array<int>")
+    return number_array([int(found.get(i, 1)).bit_length() << HASH_BITS for i in range(CELLS)], "bigint")
 
 
-def _tokens(line: Column, k: int, ranks: Column) -> Column:
-    """A line's tokens, ascending."""
-    low, high = F.lit((1 << HASH_BITS) - 1), F.lit(~((1 << HASH_BITS) - 1))
+def _after(column: str, n: int) -> Column:
+    """An array from its entry n on, counted from 0."""
+    return F.slice(column, n + 1, MOST)
 
-    def word(w: Column) -> Column:
-        return _let(F.xxhash64(w), lambda h: F.shiftleft(F.get(ranks, _cell(h)).cast("bigint"), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))
 
-    def token(own: Column, i: Column, last: Column) -> Column:
-        """The token of the words from i on, k at most."""
-        hashed = F.xxhash64(*(F.get(own, i + j) for j in range(k)))
-        return F.least(F.get(own, i), last).bitwiseAND(high).bitwiseOR(hashed.bitwiseAND(low))
+def _with_tokens(lines: DataFrame, k: int, ranks: Column) -> DataFrame:
+    """lines with their tokens, ascending.
 
-    def shingled(own: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(0), F.size(own) - k), lambda i: token(own, i, F.get(own, i + (k - 1))))
-        few = F.array(token(own, F.lit(0), F.get(own, F.size(own) - 1)))
-        return F.when(F.size(own) > k, F.sort_array(F.array_distinct(many))).otherwise(few)
-
-    return _let(F.transform(F.split(line, " "), word), shingled)
+    Each entry costs a few evaluations only: hashes of 1, 2, 4, ... words in a row are put together from hashes of half
+    as many, and those to hashes of k. Sorting is outside of the lambdas, where Spark works on plain numbers.
+    """
+    out = _once(lines, F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), "_1")
+    size, done, reach, parts = 1, None, 0, ["_1"]
+    while True:
+        if k & size:
+            own = f"_{size}"
+            if done is None:
+                done, reach = own, size
+            else:
+                out = _once(out, F.zip_with(done, _after(own, reach), lambda a, b: F.xxhash64(a, b)), f"_to{reach + size}")
+                done, reach = f"_to{reach + size}", reach + size
+                parts.append(done)
+        if 2 * size > k:
+            break
+        out = _once(out, F.zip_with(f"_{size}", _after(f"_{size}", size), lambda a, b: F.xxhash64(a, b)), f"_{2 * size}")
+        size *= 2
+        parts.append(f"_{size}")
+    out = _once(out, F.transform("_1", lambda h: F.get(ranks, _cell(h))), "_rank")
+    # The shorter array of a pair ends with nulls, which the slice leaves out.
+    least = F.zip_with("_rank", _after("_rank", k - 1), lambda a, b: F.least(a, b))
+    low = F.lit((1 << HASH_BITS) - 1)
+    many = F.slice(F.zip_with(least, F.col(done), lambda r, t: t.bitwiseAND(low).bitwiseOR(r)), 1, F.size("_1") - (k - 1))
+    whole = F.least(F.get("_rank", F.lit(0)), F.get("_rank", F.size("_1") - 1)).bitwiseOR(F.xxhash64("line").bitwiseAND(low))
+    out = _once(out, F.when(F.size("_1") >= k, many).otherwise(F.array(whole)), "tokens")
+    return _once(out, F.sort_array(F.array_distinct("tokens")), "tokens").drop("_rank", *parts)
 
 
 def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,14 +124,17 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     n = F.size("tokens")
     reach = n - F.ceil(n * percent / 100).cast("int") + 1
     # Only the prefix of a line's tokens goes through the shuffle that folds equal lines, not its text.
-    sets = _once(lines, _tokens(F.col("line"), words, ranks), "tokens")
-    sets = settle(sets.select("at", F.unhex(F.md5("line")).alias("key"), n.alias("n"), F.slice("tokens", 1, reach).alias("prefix")), "line-prefixes")
+    key = F.unhex(F.md5("line")).alias("key")
+    keys = settle(lines.select("at", key), "line-keys")
+    sets = _with_tokens(lines, words, ranks).select("at", key, n.alias("n"), F.slice("tokens", 1, reach).alias("prefix"))
     some = F.struct("at", "n", "prefix")  # equal lines have equal tokens
-    first = sets.groupBy("key").agg(F.min(some).alias("own"), F.count("*").alias("copies"))
-    first = settle(first.select("key", "own.*", "copies"), "line-classes")
-    twice = settle(first.select(F.explode("prefix").alias("id")).groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"), "line-twice")
-    prefix = first.select("key", "at", "n", F.posexplode("prefix").alias("i", "t"))
+    classes = sets.groupBy("key").agg(F.min(some).alias("own"), F.count("*").alias("copies"))
+    classes = settle(classes.select("key", "own.*", "copies"), "line-classes")
+    first = settle(classes.select("key", "at", "copies"), "line-first")
+    twice = settle(classes.select(F.explode("prefix").alias("id")).groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"), "line-twice")
+    prefix = classes.select("key", "at", "n", F.posexplode("prefix").alias("i", "t"))
     shared = settle(only_ids(prefix, "t", twice), "line-shared")
+    drop_settled(twice, classes)
     a = shared.select("t", *(F.col(c).alias(f"a_{c}") for c in ("key", "at", "n", "i")))
     b = shared.select("t", *(F.col(c).alias(f"b_{c}") for c in ("key", "at", "n", "i")))
     # A common token at places i and j leaves at most the lesser rest on either side.
@@ -129,12 +145,13 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
         & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
     )
     pairs = settle(pairs.select("a_key", "b_key").distinct(), "line-pairs")
-    drop_settled(twice, shared)
+    drop_settled(shared)
     asked = pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
     asked = settle(first.select("key", "at").join(asked, "key", "left_semi"), "line-asked")
     texts = marked(lines, "at", asked.select(F.col("at").alias("id"))).filter("_hit").drop("_hit")
     texts = texts.join(asked, "at").dropDuplicates(["key"])
-    whole = settle(_once(texts, _tokens(F.col("line"), words, ranks), "tokens").select("key", "tokens"), "line-sets")
+    whole = settle(_with_tokens(texts, words, ranks).select("key", "tokens"), "line-sets")
+    drop_settled(lines)
     both = pairs.join(whole.select(F.col("key").alias("a_key"), F.col("tokens").alias("x")), "a_key")
     both = both.join(whole.select(F.col("key").alias("b_key"), F.col("tokens").alias("y")), "b_key")
     common = F.size(F.array_intersect("x", "y"))
@@ -143,14 +160,16 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     # A line goes where its class is not first, or follows a similar one.
     goes = first.join(later, "key", "left").filter("copies > 1 or later").select("key", "later", F.col("at").alias("first"))
     goes = settle(goes, "line-goes")
-    drop_settled(pairs, whole, asked, lines)
-    keyed = marked(sets.select("at", "key"), "key", goes.select(F.col("key").alias("id"))).filter("_hit").drop("_hit")
+    drop_settled(pairs, whole, asked)
+    keyed = marked(keys, "key", goes.select(F.col("key").alias("id"))).filter("_hit").drop("_hit")
     gone = keyed.join(goes, "key").filter("later or at <> first").select("at")
     gone = settle(gone.groupBy(F.struct("at.id", "at.mark").alias("row")).agg(F.collect_set("at.pos").alias("gone")), "line-gone")
-    drop_settled(first, sets)
+    drop_settled(first, keys, goes)
     ids = gone.select(F.col("row").alias("id"))
-    clean = without_ids(rows, "row", ids).select("row.id", "text", F.array().cast("array<int>").alias("gone"))
-    cut = only_ids(rows, "row", ids).join(gone, "row").select("row.id", "text", "gone")
+    split = marked(rows, "row", ids)
+    none = F.array().cast("array<int>")
+    clean = split.filter("not _hit").select("row.id", "text", none.alias("gone"))
+    cut = split.filter("_hit").drop("_hit").join(gone, "row", "left").select("row.id", "text", F.coalesce("gone", none).alias("gone"))
 
     def finished(found: DataFrame) -> DataFrame:
         parts = F.split("text", "\n")
