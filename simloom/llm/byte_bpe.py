@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, settle, slices, table, text_rows, trimmed
+from .common import number_array, release, settle, slices, table, text_rows, trimmed
 
 #: Words in the code book at most: the most frequent ones. Rarer words are folded where they stand.
 BOOK = 500_000
@@ -106,11 +106,7 @@ def rank_map(ranks: dict[bytes, int]) -> RankMap:
     if edge >= (1 << ID_BITS) - 1:
         raise ValueError(f"ids up to {(1 << ID_BITS) - 3} only")
     shift, slots = lay_rows(np.array(found, np.int64).reshape(-1, 3), edge)
-
-    def literal(values, kind: str) -> Column:
-        return F.from_json(F.lit(json.dumps([int(x) for x in values])), f"array<{kind}>")
-
-    return RankMap(literal(shift, "int"), literal(slots, "bigint"), literal([ranks[bytes([i])] for i in range(256)], "int"), edge)
+    return RankMap(number_array(shift, "int"), number_array(slots, "bigint"), number_array([ranks[bytes([i])] for i in range(256)], "int"), edge)
 
 
 def piece_list(ranks: dict[bytes, int]) -> Column:
