@@ -6,11 +6,13 @@ returns their token ids. Every stage's rows are written as Parquet and read agai
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.llm.byte_bpe import decode_ids, default_vocabulary, encode_documents, load_ranks, piece_list
-from simloom.llm.common import settle, table, without_ids
+from simloom.llm.common import rest_executors, settle, table, without_ids
 from simloom.llm.decontaminate import decontaminate
 from simloom.llm.exact_dedup import exact_dedup
 from simloom.llm.language_id import UNDETERMINED, fit_language_model, held_out, identify
@@ -70,16 +72,28 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, their number, and the digest of the text that they decode to. Null text has no ids."""
     path, pattern = default_vocabulary()
     found = encode_documents(docs, path, pattern)
+    rest_executors(spark)  # the words and the book are made; what is left runs with two Python workers a task
     decoded = F.sha2(decode_ids(F.col("ids"), piece_list(load_ranks(path))), 256)
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"))
 
 
+def _rested(stage):
+    """The stage, on executors that hold no garbage of those before it."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rest_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("exact_dedup", exact),
-    ("near_dedup", near),
-    ("decontaminate", decontaminated),
-    ("byte_bpe", byte_bpe),
+    ("language_id", _rested(language_id)),
+    ("exact_dedup", _rested(exact)),
+    ("near_dedup", _rested(near)),
+    ("decontaminate", _rested(decontaminated)),
+    ("byte_bpe", _rested(byte_bpe)),
 ]
 
 #: Language scores, near-duplicate search and merges can't be put in SQL.

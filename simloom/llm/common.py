@@ -80,6 +80,14 @@ def _forget_shuffles(spark: SparkSession) -> None:
         _collected[0] = time.monotonic()
 
 
+def rest_executors(spark: SparkSession) -> None:
+    """Executors collect their garbage, so that their heaps shrink to what is in use: a heap that earlier work has let
+    grow stays that large, beside the Python workers of what comes next. A task for each core reaches every executor
+    that is idle; one that isn't reached only keeps its memory."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def number_array(values, kind: str) -> Column:
     """A literal array of numbers; kind is int or bigint.
 

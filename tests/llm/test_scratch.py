@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from simloom.llm import common, line_dedup
 
 
@@ -40,3 +41,24 @@ def test_tokens_are_the_distinct_shingles(spark):
         for x in lines:
             for y in lines:
                 assert len(set(got[x]) & set(got[y])) == len(known[x] & known[y])
+
+
+def test_each_stage_of_the_pipeline_starts_on_rested_executors(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "rest_executors", lambda s: calls.append("rest"), raising=False)
+    docs = spark.createDataFrame([(1, "some words of plain text stand here", "en", "web", 35)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, name: spark.createDataFrame([(1, "no such words")], "item_id long, text string"))
+    for name, stage in corpus_pipeline.STAGES:
+        calls.clear()
+        stage(spark, docs, "")
+        assert len(calls) == (2 if name == "byte_bpe" else 1), name
+
+
+def test_executors_at_rest_have_collected(spark):
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans)
+
+    before = collections()
+    common.rest_executors(spark)
+    assert collections() > before
