@@ -75,9 +75,14 @@ def _forget_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs that are over, which it does once the driver's JVM has collected its
     garbage; by itself that may be half an hour later. The JVM and Python give free memory back, too."""
     if time.monotonic() - _collected[0] >= COLLECT_S:
-        release()
-        spark._jvm.System.gc()
-        _collected[0] = time.monotonic()
+        collect_now(spark)
+
+
+def collect_now(spark: SparkSession) -> None:
+    """Collects the driver's garbage, whenever it was collected last."""
+    release()
+    spark._jvm.System.gc()
+    _collected[0] = time.monotonic()
 
 
 def rest_executors(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_settled, marked, number_array, only_ids, settle, table
+from .common import collect_now, drop_settled, marked, number_array, only_ids, settle, table
 
 #: Cells of the table of word counts, a fixed size. Words that share a cell only make the order less sharp: any order
 #: that is the same for all lines gives exact results.
@@ -105,13 +105,21 @@ def _with_tokens(lines: DataFrame, k: int, ranks: Column) -> DataFrame:
     return _once(out, F.sort_array(F.array_distinct("tokens")), "tokens").drop("_rank", *parts)
 
 
+def _parities(tokens: str) -> Column:
+    """For each of 64 cells, whether an odd number of tokens falls into it, as the bits of a number. Where two sets differ
+    in a cell, a token of only one of them falls into it; so they differ in as many tokens as in cells, at least."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda seen, t: seen.bitwiseXOR(bit(t)))
+
+
 def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes every line that has an earlier one, by (id, line number), with 100 * intersection >= percent * union.
 
     Equal lines (but for the case of A-Z and for white space) fold into one class with its first place. Counts of all
     words, in a table of a fixed size, give the order; the prefix rows are joined on the token, with the length and
-    positional filters in the join; what is left is verified on full sets, made for those lines alone. Only texts
-    that lose lines are shuffled.
+    positional filters in the join, and one by parities: it needs 64 bits of each line, and rules out most pairs that
+    share little more than a token. What is left is verified on full sets, made for those lines alone. Only texts that
+    lose lines are shuffled.
 
     Returns one row per input row: ``id_col``, n_lines, n_removed and kept (the lines that stay, joined by line feeds).
     Lines without words always stay. Null text has one empty line. Rows that share an id are in the order of a hash of
@@ -126,30 +134,32 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     # Only the prefix of a line's tokens goes through the shuffle that folds equal lines, not its text.
     key = F.unhex(F.md5("line")).alias("key")
     keys = settle(lines.select("at", key), "line-keys")
-    sets = _with_tokens(lines, words, ranks).select("at", key, n.alias("n"), F.slice("tokens", 1, reach).alias("prefix"))
-    some = F.struct("at", "n", "prefix")  # equal lines have equal tokens
+    sets = _with_tokens(lines, words, ranks).select("at", key, n.alias("n"), _parities("tokens").alias("odd"), F.slice("tokens", 1, reach).alias("prefix"))
+    some = F.struct("at", "n", "odd", "prefix")  # equal lines have equal tokens
     classes = sets.groupBy("key").agg(F.min(some).alias("own"), F.count("*").alias("copies"))
     classes = settle(classes.select("key", "own.*", "copies"), "line-classes")
     first = settle(classes.select("key", "at", "copies"), "line-first")
+    collect_now(rows.sparkSession)  # the shuffle of all lines' prefixes, before the next one of that size
     twice = settle(classes.select(F.explode("prefix").alias("id")).groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"), "line-twice")
-    prefix = classes.select("key", "at", "n", F.posexplode("prefix").alias("i", "t"))
+    prefix = classes.select("key", "at", "n", "odd", F.posexplode("prefix").alias("i", "t"))
     shared = settle(only_ids(prefix, "t", twice), "line-shared")
     drop_settled(twice, classes)
-    a = shared.select("t", *(F.col(c).alias(f"a_{c}") for c in ("key", "at", "n", "i")))
-    b = shared.select("t", *(F.col(c).alias(f"b_{c}") for c in ("key", "at", "n", "i")))
+    a = shared.select("t", *(F.col(c).alias(f"a_{c}") for c in ("key", "at", "n", "odd", "i")))
+    b = shared.select("t", *(F.col(c).alias(f"b_{c}") for c in ("key", "at", "n", "odd", "i")))
     # A common token at places i and j leaves at most the lesser rest on either side.
     most = F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
     pairs = a.join(b, "t").filter(
         (F.col("a_at") < F.col("b_at"))
         & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
         & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
+        & ((100 + percent) * F.bit_count(F.col("a_odd").bitwiseXOR(F.col("b_odd"))) <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
     )
     pairs = settle(pairs.select("a_key", "b_key").distinct(), "line-pairs")
     drop_settled(shared)
     asked = pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
     asked = settle(first.select("key", "at").join(asked, "key", "left_semi"), "line-asked")
     texts = marked(lines, "at", asked.select(F.col("at").alias("id"))).filter("_hit").drop("_hit")
-    texts = texts.join(asked, "at").dropDuplicates(["key"])
+    texts = texts.join(asked, "at").dropDuplicates(["at"])  # rows that are alike; a place has one line, and so one key
     whole = settle(_with_tokens(texts, words, ranks).select("key", "tokens"), "line-sets")
     drop_settled(lines)
     both = pairs.join(whole.select(F.col("key").alias("a_key"), F.col("tokens").alias("x")), "a_key")

@@ -1,6 +1,9 @@
 """What operators leave behind while they run: shuffle files; and the tokens of lines."""
 
+import random
 import time
+from functools import reduce
+from operator import xor
 
 from pyspark.sql import functions as F
 
@@ -62,3 +65,34 @@ def test_executors_at_rest_have_collected(spark):
     before = collections()
     common.rest_executors(spark)
     assert collections() > before
+
+
+def test_parities_differ_in_as_many_cells_as_tokens_differ_at_most(spark):
+    rng = random.Random(3)
+    sets = [[rng.getrandbits(63) - (1 << 62) for _ in range(rng.randrange(0, 90))] for _ in range(40)]
+    sets += [x[: k % 9] + x[k % 9 + 1 :] for k, x in enumerate(sets)]
+    rows = spark.createDataFrame(list(enumerate(sets)), "k int, tokens array<bigint>")
+    odd = {r["k"]: r["odd"] & (1 << 64) - 1 for r in rows.select("k", line_dedup._parities("tokens").alias("odd")).collect()}
+    for k, x in enumerate(sets):
+        assert odd[k] == reduce(xor, (1 << (t & 63) for t in x), 0)
+        for j, y in enumerate(sets):
+            assert (odd[k] ^ odd[j]).bit_count() <= len(set(x) ^ set(y))
+
+
+def test_lines_that_share_a_passage_only_are_no_pairs(spark, monkeypatch):
+    pairs, settle = [], line_dedup.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        if name == "line-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "settle", counted)
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(12))  # all words are about as frequent
+    texts = [passage + " " + " ".join(f"w{rng.randrange(30)}" for _ in range(30)) for _ in range(60)]
+    texts += [texts[0] + " end", "z" + texts[1][2:]]  # 38 of 39 shingles; 37 of 39
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {k for k, n in got.items() if n} == {60, 61}
+    assert 2 <= pairs[0] <= 10
