@@ -440,7 +440,8 @@ def near_duplicates(
         # As many levels of branching at once as a child has tokens: the seed of node and child picks the coordinates.
         seed = F.xxhash64("node", F.lit(level), "j")
         picked = [token(F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(coordinates)).cast("int")) for i in range(tokens)]
-        child = many.select("node", "cid", F.explode(F.array(*map(F.lit, range(children)))).alias("j")).join(facts.select("cid", "sig"), "cid")
+        signed = many.select("node", "cid").join(facts.select("cid", "sig"), "cid")  # before a member has a row for each child
+        child = signed.select("node", "cid", "sig", F.explode(F.array(*map(F.lit, range(children)))).alias("j"))
         left = shared(child.select(F.xxhash64(seed, *picked).alias("node"), "cid"), f"near-nodes-{level + 1}")
         left = rooted(left, roots).withColumn("trees", F.lit(min(trees, 62)))
     class_root = classes.select("twin", "cid")

@@ -8,7 +8,7 @@ from operator import xor
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from simloom.llm import common, line_dedup
+from simloom.llm import common, line_dedup, near_dedup
 
 
 def test_settled_tables_leave_no_shuffle_files(spark, monkeypatch):
@@ -96,3 +96,28 @@ def test_lines_that_share_a_passage_only_are_no_pairs(spark, monkeypatch):
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {k for k, n in got.items() if n} == {60, 61}
     assert 2 <= pairs[0] <= 10
+
+
+def test_members_get_their_signatures_before_they_branch(spark, monkeypatch):
+    plans, settle = [], near_dedup.settle
+
+    def seen(df, name):
+        if name == "near-nodes-2":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+        return settle(df, name)
+
+    monkeypatch.setattr(near_dedup, "settle", seen)
+    common_part = " ".join(f"c{i}" for i in range(60))
+    docs = spark.createDataFrame([(k, common_part + " " + " ".join(f"w{k}x{i}" for i in range(25))) for k in range(30)], "doc_id long, text string")
+    assert near_dedup.near_duplicates(docs, percent=80, small=4).filter("kept").count() == 30
+    deep = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for plan in plans:
+        for k, line in enumerate(plan):
+            if "Join Inner, (cid" in line:
+                below = []
+                for x in plan[k + 1 :]:
+                    if deep(x) <= deep(line):
+                        break
+                    below.append(x)
+                assert not any("Generate explode" in x for x in below)
+    assert plans
