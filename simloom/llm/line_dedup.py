@@ -9,18 +9,18 @@ token can exceed in frequency; in its low bits a hash of its words. So the order
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import collect_now, drop_settled, marked, number_array, only_ids, settle, table
+from .common import collect_now, drop_settled, marked, number_array, only_ids, settle, table, without_ids
 
 #: Cells of the table of word counts, a fixed size. Words that share a cell only make the order less sharp: any order
 #: that is the same for all lines gives exact results.
 CELLS = 1 << 16
 #: Low bits of a token.
 HASH_BITS = 56
-#: More entries than an array has.
-MOST = 1 << 30
+#: Lines of more tokens have parities in 256 cells: in 64, sets of that size that differ much differ in few cells.
+WIDE = 64
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -68,58 +68,95 @@ def _ranks(lines: DataFrame) -> Column:
     return number_array([int(found.get(i, 1)).bit_length() << HASH_BITS for i in range(CELLS)], "bigint")
 
 
-def _after(column: str, n: int) -> Column:
-    """An array from its entry n on, counted from 0."""
-    return F.slice(column, n + 1, MOST)
-
-
 def _with_tokens(lines: DataFrame, k: int, ranks: Column) -> DataFrame:
     """lines with their tokens, ascending.
 
-    Each entry costs a few evaluations only: hashes of 1, 2, 4, ... words in a row are put together from hashes of half
-    as many, and those to hashes of k. Sorting is outside of the lambdas, where Spark works on plain numbers.
+    Words become numbers with their ranks in the high bits, and one more function puts k of them together; its time grows
+    with k. No entry can be null, so sorting works on plain numbers.
     """
-    out = _once(lines, F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), "_1")
-    size, done, reach, parts = 1, None, 0, ["_1"]
-    while True:
-        if k & size:
-            own = f"_{size}"
-            if done is None:
-                done, reach = own, size
-            else:
-                out = _once(out, F.zip_with(done, _after(own, reach), lambda a, b: F.xxhash64(a, b)), f"_to{reach + size}")
-                done, reach = f"_to{reach + size}", reach + size
-                parts.append(done)
-        if 2 * size > k:
-            break
-        out = _once(out, F.zip_with(f"_{size}", _after(f"_{size}", size), lambda a, b: F.xxhash64(a, b)), f"_{2 * size}")
-        size *= 2
-        parts.append(f"_{size}")
-    out = _once(out, F.transform("_1", lambda h: F.get(ranks, _cell(h))), "_rank")
-    # The shorter array of a pair ends with nulls, which the slice leaves out.
-    least = F.zip_with("_rank", _after("_rank", k - 1), lambda a, b: F.least(a, b))
     low = F.lit((1 << HASH_BITS) - 1)
-    many = F.slice(F.zip_with(least, F.col(done), lambda r, t: t.bitwiseAND(low).bitwiseOR(r)), 1, F.size("_1") - (k - 1))
-    whole = F.least(F.get("_rank", F.lit(0)), F.get("_rank", F.size("_1") - 1)).bitwiseOR(F.xxhash64("line").bitwiseAND(low))
-    out = _once(out, F.when(F.size("_1") >= k, many).otherwise(F.array(whole)), "tokens")
-    return _once(out, F.sort_array(F.array_distinct("tokens")), "tokens").drop("_rank", *parts)
+    rank = lambda h: F.coalesce(F.get(ranks, _cell(h)), F.lit(0).cast("bigint"))
+    numbers = F.transform(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), lambda h: h.bitwiseAND(low).bitwiseOR(rank(h)))
+    out = _once(lines, numbers, "_words")
+    word = lambda i, j: F.get("_words", i + j)
+
+    def shingle(x: Column, i: Column) -> Column:
+        """The token of k words from x on. At the end of the line it has fewer: those are cut off."""
+        least = F.least(x, word(i, k - 1)) if k > 1 else x
+        return F.xxhash64(x, *(word(i, j) for j in range(1, k))).bitwiseAND(low).bitwiseOR(least.bitwiseAND(F.lit(~((1 << HASH_BITS) - 1))))
 
+    many = F.slice(F.transform("_words", shingle), 1, F.size("_words") - (k - 1))
+    ends = F.least(*(F.coalesce(F.get("_words", i), F.lit(0).cast("bigint")) for i in (F.lit(0), F.size("_words") - 1)))
+    whole = F.xxhash64("line").bitwiseAND(low).bitwiseOR(ends.bitwiseAND(F.lit(~((1 << HASH_BITS) - 1))))
+    out = _once(out, F.when(F.size("_words") >= k, many).otherwise(F.array(whole)), "tokens").drop("_words")
+    return _once(out, F.sort_array(F.array_distinct("tokens")), "tokens")
 
-def _parities(tokens: str) -> Column:
+
+def _parities(tokens: str | Column) -> Column:
     """For each of 64 cells, whether an odd number of tokens falls into it, as the bits of a number. Where two sets differ
     in a cell, a token of only one of them falls into it; so they differ in as many tokens as in cells, at least."""
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda seen, t: seen.bitwiseXOR(bit(t)))
 
 
+def _odd() -> Column:
+    """Parities of tokens in 64 cells and, of a line of more than WIDE, in the second to fourth 64 of 256 cells."""
+    quarter = lambda k: F.filter("tokens", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k)
+    more = (F.when(F.size("tokens") > WIDE, _parities(quarter(k))).otherwise(F.lit(0).cast("bigint")).alias(f"q{k}") for k in (1, 2, 3))
+    return F.struct(_parities("tokens").alias("all"), *more)
+
+
+def _differing(a_odd: Column, b_odd: Column) -> Column:
+    """In how many of 256 cells two lines of more than WIDE tokens differ; the first 64 follow from all and the others."""
+    q1, q2, q3 = (a_odd[f"q{k}"].bitwiseXOR(b_odd[f"q{k}"]) for k in (1, 2, 3))
+    q0 = a_odd["all"].bitwiseXOR(b_odd["all"]).bitwiseXOR(q1).bitwiseXOR(q2).bitwiseXOR(q3)
+    return F.bit_count(q0) + F.bit_count(q1) + F.bit_count(q2) + F.bit_count(q3)
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether line a is earlier than b and their sets can be similar, as far as a shared token, sizes and parities tell."""
+    c = lambda name: (F.col(f"{a}.{name}"), F.col(f"{b}.{name}"))
+    (a_n, b_n), (a_i, b_i), (a_odd, b_odd), (a_at, b_at) = c("n"), c("i"), c("odd"), c("at")
+    # A common token at places i and j leaves at most the lesser rest on either side.
+    most = F.least(a_i, b_i) + F.least(a_n - a_i, b_n - b_i)
+    return (
+        (a_at < b_at)
+        & (100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n))
+        & ((100 + percent) * most >= percent * (a_n + b_n))
+        & ((100 + percent) * F.bit_count(a_odd["all"].bitwiseXOR(b_odd["all"])) <= (100 - percent) * (a_n + b_n))
+        & ((F.least(a_n, b_n) <= WIDE) | ((100 + percent) * _differing(a_odd, b_odd) <= (100 - percent) * (a_n + b_n)))
+    )
+
+
+def _keys(*sides: str) -> list[Column]:
+    return [F.col(f"{x}.key").alias(f"{x}_key") for x in sides]
+
+
+def _later(pairs: DataFrame, lines: DataFrame, first: DataFrame, words: int, ranks: Column, percent: int) -> DataFrame:
+    """The keys (key) of lines b of pairs (a_key, b_key) whose full sets are similar; sets are made for those lines alone."""
+    asked = pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
+    asked = settle(first.select("key", "at").join(asked, "key", "left_semi"), "line-asked")
+    texts = marked(lines, "at", asked.select(F.col("at").alias("id"))).filter("_hit").drop("_hit")
+    texts = texts.join(asked, "at").dropDuplicates(["at"])  # rows that are alike; a place has one line, and so one key
+    whole = settle(_with_tokens(texts, words, ranks).select("key", "tokens"), "line-sets")
+    both = pairs.join(whole.select(F.col("key").alias("a_key"), F.col("tokens").alias("x")), "a_key")
+    both = both.join(whole.select(F.col("key").alias("b_key"), F.col("tokens").alias("y")), "b_key")
+    common = F.size(F.array_intersect("x", "y"))
+    found = both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("b_key").alias("key")).distinct()
+    found = settle(found, "line-found")
+    drop_settled(asked, whole)
+    return found
+
+
 def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes every line that has an earlier one, by (id, line number), with 100 * intersection >= percent * union.
 
     Equal lines (but for the case of A-Z and for white space) fold into one class with its first place. Counts of all
-    words, in a table of a fixed size, give the order; the prefix rows are joined on the token, with the length and
-    positional filters in the join, and one by parities: it needs 64 bits of each line, and rules out most pairs that
-    share little more than a token. What is left is verified on full sets, made for those lines alone. Only texts that
-    lose lines are shuffled.
+    words, in a table of a fixed size, give the order; prefix rows meet on the token, with the length and positional
+    filters and one by parities: it needs 256 bits of each line at most, and rules out most pairs that share little more than a
+    token. What is left is verified on full sets, made for those lines alone. A line that follows a similar one goes,
+    whichever that is; so each line meets the earliest one of its tokens first, and only those that no such pair settles
+    meet all others. Only texts that lose lines are shuffled.
 
     Returns one row per input row: ``id_col``, n_lines, n_removed and kept (the lines that stay, joined by line feeds).
     Lines without words always stay. Null text has one empty line. Rows that share an id are in the order of a hash of
@@ -134,7 +171,7 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     # Only the prefix of a line's tokens goes through the shuffle that folds equal lines, not its text.
     key = F.unhex(F.md5("line")).alias("key")
     keys = settle(lines.select("at", key), "line-keys")
-    sets = _with_tokens(lines, words, ranks).select("at", key, n.alias("n"), _parities("tokens").alias("odd"), F.slice("tokens", 1, reach).alias("prefix"))
+    sets = _with_tokens(lines, words, ranks).select("at", key, n.alias("n"), _odd().alias("odd"), F.slice("tokens", 1, reach).alias("prefix"))
     some = F.struct("at", "n", "odd", "prefix")  # equal lines have equal tokens
     classes = sets.groupBy("key").agg(F.min(some).alias("own"), F.count("*").alias("copies"))
     classes = settle(classes.select("key", "own.*", "copies"), "line-classes")
@@ -144,33 +181,24 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     prefix = classes.select("key", "at", "n", "odd", F.posexplode("prefix").alias("i", "t"))
     shared = settle(only_ids(prefix, "t", twice), "line-shared")
     drop_settled(twice, classes)
-    a = shared.select("t", *(F.col(c).alias(f"a_{c}") for c in ("key", "at", "n", "odd", "i")))
-    b = shared.select("t", *(F.col(c).alias(f"b_{c}") for c in ("key", "at", "n", "odd", "i")))
-    # A common token at places i and j leaves at most the lesser rest on either side.
-    most = F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
-    pairs = a.join(b, "t").filter(
-        (F.col("a_at") < F.col("b_at"))
-        & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-        & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
-        & ((100 + percent) * F.bit_count(F.col("a_odd").bitwiseXOR(F.col("b_odd"))) <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
-    )
-    pairs = settle(pairs.select("a_key", "b_key").distinct(), "line-pairs")
+    # First each line meets the earliest one of each of its tokens only. Of many lines alike, few are left after that.
+    own = [F.col(c) for c in ("key", "at", "n", "odd", "i")]
+    earliest = Window.partitionBy("t").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = shared.select(F.first(F.struct(*own)).over(earliest).alias("a"), F.struct(*own).alias("b"))
+    met = settle(met.filter(_near("a", "b", percent)).select(*_keys("a", "b")).distinct(), "line-pairs")
+    later = _later(met, lines, first, words, ranks, percent)
+    # Whoever isn't known to follow a similar one meets all lines before it.
+    a, b = (x.select("t", F.struct(*own).alias(name)) for x, name in ((shared, "a"), (without_ids(shared, "key", later.select(F.col("key").alias("id"))), "b")))
+    pairs = settle(a.join(b, "t").filter(_near("a", "b", percent)).select(*_keys("a", "b")).distinct(), "line-rest")
     drop_settled(shared)
-    asked = pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
-    asked = settle(first.select("key", "at").join(asked, "key", "left_semi"), "line-asked")
-    texts = marked(lines, "at", asked.select(F.col("at").alias("id"))).filter("_hit").drop("_hit")
-    texts = texts.join(asked, "at").dropDuplicates(["at"])  # rows that are alike; a place has one line, and so one key
-    whole = settle(_with_tokens(texts, words, ranks).select("key", "tokens"), "line-sets")
+    more = _later(pairs, lines, first, words, ranks, percent)
     drop_settled(lines)
-    both = pairs.join(whole.select(F.col("key").alias("a_key"), F.col("tokens").alias("x")), "a_key")
-    both = both.join(whole.select(F.col("key").alias("b_key"), F.col("tokens").alias("y")), "b_key")
-    common = F.size(F.array_intersect("x", "y"))
-    later = both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("b_key").alias("key"), F.lit(True).alias("later")).distinct()
+    follows = later.union(more).select("key", F.lit(True).alias("later"))  # no key is in both
 
     # A line goes where its class is not first, or follows a similar one.
-    goes = first.join(later, "key", "left").filter("copies > 1 or later").select("key", "later", F.col("at").alias("first"))
+    goes = first.join(follows, "key", "left").filter("copies > 1 or later").select("key", "later", F.col("at").alias("first"))
     goes = settle(goes, "line-goes")
-    drop_settled(pairs, whole, asked)
+    drop_settled(met, pairs, later, more)
     keyed = marked(keys, "key", goes.select(F.col("key").alias("id"))).filter("_hit").drop("_hit")
     gone = keyed.join(goes, "key").filter("later or at <> first").select("at")
     gone = settle(gone.groupBy(F.struct("at.id", "at.mark").alias("row")).agg(F.collect_set("at.pos").alias("gone")), "line-gone")

@@ -121,3 +121,60 @@ def test_members_get_their_signatures_before_they_branch(spark, monkeypatch):
                     below.append(x)
                 assert not any("Generate explode" in x for x in below)
     assert plans
+
+
+def test_wide_parities_differ_in_as_many_cells_as_tokens_differ_at_most(spark):
+    rng = random.Random(5)
+    sets = [[rng.getrandbits(63) - (1 << 62) for _ in range(rng.randrange(line_dedup.WIDE + 1, 260))] for _ in range(20)]
+    sets += [x[: 3 * k] + x[4 * k :] + [k] for k, x in enumerate(sets)]
+    sets = [x for x in sets if len(x) > line_dedup.WIDE]
+    rows = spark.createDataFrame(list(enumerate(sets)), "k int, tokens array<bigint>").select("k", line_dedup._odd().alias("odd"))
+    pairs = rows.alias("a").crossJoin(rows.alias("b")).select("a.k", F.col("b.k").alias("j"), line_dedup._differing(F.col("a.odd"), F.col("b.odd")).alias("d"))
+    for r in pairs.collect():
+        cells = reduce(xor, (1 << (t & 255) for t in sets[r["k"]] + sets[r["j"]]))
+        assert r["d"] == cells.bit_count() <= len(set(sets[r["k"]]) ^ set(sets[r["j"]]))
+
+
+def _pairs_of(spark, monkeypatch, texts):
+    """Which texts lose a line, and the pairs of lines that were verified, by table."""
+    pairs, settle = {}, line_dedup.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        if name in ("line-pairs", "line-rest"):
+            pairs[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "settle", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"] for r in line_dedup.line_dedup(docs).collect() if r["n_removed"]}, pairs
+
+
+def test_near_copies_of_one_line_are_not_joined_pair_by_pair(spark, monkeypatch):
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(base)] + [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(60)]
+    gone, pairs = _pairs_of(spark, monkeypatch, texts)
+    assert gone == set(range(1, 61))
+    assert sum(pairs.values()) <= 10 * len(texts)  # of 1,830
+
+
+def test_long_lines_that_share_half_are_no_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    half = " ".join(f"p{i}" for i in range(120))
+    texts = [half + " " + " ".join(f"v{rng.randrange(60)}" for _ in range(70)) for _ in range(40)]
+    texts.append(texts[0] + " end")
+    gone, pairs = _pairs_of(spark, monkeypatch, texts)
+    assert gone == {40}
+    assert sum(pairs.values()) <= 20
+
+
+def test_a_line_that_only_a_removed_one_resembles_goes(spark, monkeypatch):
+    words = [f"w{i}" for i in range(104)]
+    chain = [list(words)]
+    for k in (10, 50, 90):  # each step changes more; the last one resembles its neighbour, not the first
+        chain.append([f"x{k}_{i}" if k <= i < k + 6 else w for i, w in enumerate(chain[-1])])
+    sets = [{tuple(c[i : i + 5]) for i in range(len(c) - 4)} for c in chain]
+    like = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {j for j in range(len(sets)) if any(like(sets[i], sets[j]) for i in range(j))}
+    assert want == {1, 2, 3} and not like(sets[0], sets[2]) and not like(sets[0], sets[3])
+    assert _pairs_of(spark, monkeypatch, [" ".join(c) for c in chain])[0] == want
