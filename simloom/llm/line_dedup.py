@@ -9,10 +9,13 @@ token can exceed in frequency; in its low bits a hash of its words. So the order
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import collect_now, drop_settled, marked, number_array, only_ids, settle, table, without_ids
+from .common import collect_now, drop_settled, marked, number_array, only_ids, settle, settle_packed, table, without_ids
 
 #: Cells of the table of word counts, a fixed size. Words that share a cell only make the order less sharp: any order
 #: that is the same for all lines gives exact results.
@@ -34,6 +37,13 @@ def _plain(c: Column) -> Column:
     return F.when((F.octet_length(c) == F.char_length(c)) | ~c.rlike(_OTHER_CAPITALS), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
 
 
+def _even(c: str) -> Column:
+    """A line with one space for each run of white space; lone spaces stay as they are, and few lines have others."""
+    run = "[\\x09\\x0B-\\x0D][\\x20\\x09\\x0B-\\x0D]*|\\x20[\\x20\\x09\\x0B-\\x0D]+"
+    others = reduce(or_, (F.contains(F.col(c), F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")))
+    return F.when(others, F.regexp_replace(c, run, " ")).otherwise(F.col(c))
+
+
 def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
     """df with a column that is evaluated once a row, whatever refers to it: a generated one isn't merged into others."""
     return df.withColumn(name, F.explode(F.array(value)))
@@ -49,10 +59,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _lines(rows: DataFrame) -> DataFrame:
     """at (row and number of the line) and line of each line that has a word; lines end at line feeds. White space
     within lines is one space each, none at the ends; A-Z are in lower case."""
-    run = "[\\x09\\x0B-\\x0D][\\x20\\x09\\x0B-\\x0D]*|\\x20[\\x20\\x09\\x0B-\\x0D]+"  # lone spaces stay as they are
-    texts = _once(rows, F.regexp_replace("text", run, " "), "even")
-    lines = texts.select("row", F.posexplode(F.split("even", "\n")).alias("pos", "raw"))
-    lines = _once(lines, _plain(F.trim("raw")), "line").filter("line <> ''")
+    lines = rows.select("row", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    lines = _once(lines, _plain(F.trim(_even("raw"))), "line").filter("line <> ''")
     return lines.select(F.struct("row.id", "row.mark", "pos").alias("at"), "line")
 
 
@@ -71,25 +79,21 @@ def _ranks(lines: DataFrame) -> Column:
 def _with_tokens(lines: DataFrame, k: int, ranks: Column) -> DataFrame:
     """lines with their tokens, ascending.
 
-    Words become numbers with their ranks in the high bits, and one more function puts k of them together; its time grows
-    with k. No entry can be null, so sorting works on plain numbers.
+    Words become numbers with their ranks in the high bits; a token is the rarer of its first and last word's number, its
+    low bits changed by a hash of all k. No entry can be null, so sorting works on plain numbers.
     """
     low = F.lit((1 << HASH_BITS) - 1)
     rank = lambda h: F.coalesce(F.get(ranks, _cell(h)), F.lit(0).cast("bigint"))
     numbers = F.transform(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), lambda h: h.bitwiseAND(low).bitwiseOR(rank(h)))
     out = _once(lines, numbers, "_words")
-    word = lambda i, j: F.get("_words", i + j)
-
-    def shingle(x: Column, i: Column) -> Column:
-        """The token of k words from x on. At the end of the line it has fewer: those are cut off."""
-        least = F.least(x, word(i, k - 1)) if k > 1 else x
-        return F.xxhash64(x, *(word(i, j) for j in range(1, k))).bitwiseAND(low).bitwiseOR(least.bitwiseAND(F.lit(~((1 << HASH_BITS) - 1))))
-
-    many = F.slice(F.transform("_words", shingle), 1, F.size("_words") - (k - 1))
+    many = F.greatest(F.size("_words") - (k - 1), F.lit(0))
+    runs = F.arrays_zip(*(F.slice("_words", j + 1, many).alias(f"w{j}") for j in range(k)))
+    # Zipped by a function that is compiled, so that few are interpreted for each token.
+    shingle = lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - HASH_BITS).bitwiseXOR(F.least(x["w0"], x[f"w{k - 1}"]) if k > 1 else x["w0"])
     ends = F.least(*(F.coalesce(F.get("_words", i), F.lit(0).cast("bigint")) for i in (F.lit(0), F.size("_words") - 1)))
     whole = F.xxhash64("line").bitwiseAND(low).bitwiseOR(ends.bitwiseAND(F.lit(~((1 << HASH_BITS) - 1))))
-    out = _once(out, F.when(F.size("_words") >= k, many).otherwise(F.array(whole)), "tokens").drop("_words")
-    return _once(out, F.sort_array(F.array_distinct("tokens")), "tokens")
+    found = F.when(F.size("_words") >= k, F.transform(runs, shingle)).otherwise(F.array(whole))
+    return _once(out, F.sort_array(F.array_distinct(found)), "tokens").drop("_words")
 
 
 def _parities(tokens: str | Column) -> Column:
@@ -128,21 +132,26 @@ def _near(a: str, b: str, percent: int) -> Column:
     )
 
 
-def _keys(*sides: str) -> list[Column]:
-    return [F.col(f"{x}.key").alias(f"{x}_key") for x in sides]
+def _apart(a: str, b: str) -> Column:
+    """Whether none of the two tokens before this one in line a's prefix is among those in line b's. If one is, the pair
+    meets there, too: similar lines pass all filters at each token that they share. So no row is needed here."""
+    return ~reduce(or_, (F.coalesce(F.col(f"{a}.{x}") == F.col(f"{b}.{y}"), F.lit(False)) for x in ("p1", "p2") for y in ("p1", "p2")))
+
+
+def _places(*sides: str) -> list[Column]:
+    return [F.col(f"{x}.at").alias(f"{x}_at") for x in sides]
 
 
-def _later(pairs: DataFrame, lines: DataFrame, first: DataFrame, words: int, ranks: Column, percent: int) -> DataFrame:
-    """The keys (key) of lines b of pairs (a_key, b_key) whose full sets are similar; sets are made for those lines alone."""
-    asked = pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
-    asked = settle(first.select("key", "at").join(asked, "key", "left_semi"), "line-asked")
+def _later(pairs: DataFrame, lines: DataFrame, words: int, ranks: Column, percent: int) -> DataFrame:
+    """The places (at) of lines b of pairs (a_at, b_at) whose full sets are similar; sets are made for those lines alone."""
+    asked = settle(pairs.select(F.explode(F.array("a_at", "b_at")).alias("at")).distinct(), "line-asked")
     texts = marked(lines, "at", asked.select(F.col("at").alias("id"))).filter("_hit").drop("_hit")
-    texts = texts.join(asked, "at").dropDuplicates(["at"])  # rows that are alike; a place has one line, and so one key
-    whole = settle(_with_tokens(texts, words, ranks).select("key", "tokens"), "line-sets")
-    both = pairs.join(whole.select(F.col("key").alias("a_key"), F.col("tokens").alias("x")), "a_key")
-    both = both.join(whole.select(F.col("key").alias("b_key"), F.col("tokens").alias("y")), "b_key")
+    texts = texts.join(asked, "at", "left_semi").dropDuplicates(["at"])  # rows that are alike; a place has one line
+    whole = settle(_with_tokens(texts, words, ranks).select("at", "tokens"), "line-sets")
+    both = pairs.join(whole.select(F.col("at").alias("a_at"), F.col("tokens").alias("x")), "a_at")
+    both = both.join(whole.select(F.col("at").alias("b_at"), F.col("tokens").alias("y")), "b_at")
     common = F.size(F.array_intersect("x", "y"))
-    found = both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("b_key").alias("key")).distinct()
+    found = both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("b_at").alias("at")).distinct()
     found = settle(found, "line-found")
     drop_settled(asked, whole)
     return found
@@ -164,7 +173,7 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     come first. A very long line is one row with as many tokens. Other columns are ignored; no rows give no rows.
     """
     rows = _rows(docs, id_col, text_col)
-    lines = settle(_lines(rows), "line-lines")
+    lines = settle_packed(_lines(rows), "line-lines")  # the largest table, and it stays to the end
     ranks = _ranks(lines)
     n = F.size("tokens")
     reach = n - F.ceil(n * percent / 100).cast("int") + 1
@@ -178,25 +187,28 @@ def line_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     first = settle(classes.select("key", "at", "copies"), "line-first")
     collect_now(rows.sparkSession)  # the shuffle of all lines' prefixes, before the next one of that size
     twice = settle(classes.select(F.explode("prefix").alias("id")).groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"), "line-twice")
-    prefix = classes.select("key", "at", "n", "odd", F.posexplode("prefix").alias("i", "t"))
+    # Classes differ in their first places, so these stand for them.
+    prefix = classes.select("at", "n", "odd", "prefix", F.posexplode("prefix").alias("i", "t"))
+    prefix = prefix.select("at", "n", "odd", "i", "t", *(F.get("prefix", F.col("i") - k).alias(f"p{k}") for k in (1, 2)))
     shared = settle(only_ids(prefix, "t", twice), "line-shared")
     drop_settled(twice, classes)
     # First each line meets the earliest one of each of its tokens only. Of many lines alike, few are left after that.
-    own = [F.col(c) for c in ("key", "at", "n", "odd", "i")]
+    own = [F.col(c) for c in ("at", "n", "odd", "i")]
     earliest = Window.partitionBy("t").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = shared.select(F.first(F.struct(*own)).over(earliest).alias("a"), F.struct(*own).alias("b"))
-    met = settle(met.filter(_near("a", "b", percent)).select(*_keys("a", "b")).distinct(), "line-pairs")
-    later = _later(met, lines, first, words, ranks, percent)
+    met = settle(met.filter(_near("a", "b", percent)).select(*_places("a", "b")).distinct(), "line-pairs")
+    later = _later(met, lines, words, ranks, percent)
     # Whoever isn't known to follow a similar one meets all lines before it.
-    a, b = (x.select("t", F.struct(*own).alias(name)) for x, name in ((shared, "a"), (without_ids(shared, "key", later.select(F.col("key").alias("id"))), "b")))
-    pairs = settle(a.join(b, "t").filter(_near("a", "b", percent)).select(*_keys("a", "b")).distinct(), "line-rest")
+    unsettled = without_ids(shared, "at", later.select(F.col("at").alias("id")))
+    a, b = (x.select("t", F.struct(*own, "p1", "p2").alias(name)) for x, name in ((shared, "a"), (unsettled, "b")))
+    pairs = settle(a.join(b, "t").filter(_apart("a", "b") & _near("a", "b", percent)).select(*_places("a", "b")).distinct(), "line-rest")
     drop_settled(shared)
-    more = _later(pairs, lines, first, words, ranks, percent)
+    more = _later(pairs, lines, words, ranks, percent)
     drop_settled(lines)
-    follows = later.union(more).select("key", F.lit(True).alias("later"))  # no key is in both
+    follows = later.union(more).select("at", F.lit(True).alias("later"))  # no place is in both
 
     # A line goes where its class is not first, or follows a similar one.
-    goes = first.join(follows, "key", "left").filter("copies > 1 or later").select("key", "later", F.col("at").alias("first"))
+    goes = first.join(follows, "at", "left").filter("copies > 1 or later").select("key", "later", F.col("at").alias("first"))
     goes = settle(goes, "line-goes")
     drop_settled(met, pairs, later, more)
     keyed = marked(keys, "key", goes.select(F.col("key").alias("id"))).filter("_hit").drop("_hit")
