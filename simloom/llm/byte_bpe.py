@@ -228,11 +228,32 @@ def pieces(text: str) -> tuple[list[str], list[str]]:
     return out, []
 
 
+def finder(pattern: str):
+    """A function to the pattern's matches in a piece. Two words at a line's end, `a.` and `b` with a line feed between
+    them, are the most frequent pieces that aren't words: they are cut without the pattern, if it cuts these so."""
+    find = regex.compile(pattern).findall
+    if any(find(f"{x}a{y}\nb{z}") != [f"{x}a", y, "\n", "b", *z] for x in ("", " ") for y in ".," for z in ("", ".", ",")):
+        return find
+
+    def found(piece: str) -> list[str]:
+        head, feed, tail = piece.partition("\n")
+        if feed and head[-1:] in (".", ","):
+            word = head[:-1]
+            if (word[1:] if word[:1] == " " else word).isalpha():
+                if tail.isalpha():
+                    return [word, head[-1], feed, tail]
+                if tail[-1:] in (".", ",") and tail[:-1].isalpha():
+                    return [word, head[-1], feed, tail[:-1], tail[-1]]
+        return find(piece)
+
+    return found
+
+
 def count_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
     """(word, n): how often each match of the pattern occurs, counted within tasks first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, plain, spaced, rows = regex.compile(pattern).findall, Counter(), Counter(), Counter()
+        find, plain, spaced, rows = finder(pattern), Counter(), Counter(), Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
             for seen, before in ((plain, ""), (spaced, " ")):
@@ -401,7 +422,7 @@ def encode_documents(
         path, book = shared.value
         own = load_ranks(path)
         of_byte = np.array([own[bytes([i])] for i in range(256)], np.int32)
-        find, rare = regex.compile(pattern).findall, []
+        find, rare = finder(pattern), []
         plain, spaced = (_Codes(book, own, find, before, rare) for before in ("", " "))
         for batch in batches:
             for a, b in slices(batch.column(1), 2 << 20):
@@ -438,15 +459,6 @@ def encode_documents(
     return filled.mapInArrow(trimmed(finished), f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
-def decoder(ranks_path: str):
-    """A function from ids to the bytes that they stand for: their binary pieces, put together."""
-    ranks = load_ranks(ranks_path)
-    pieces_of = [b""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces_of[rank] = piece
-    return lambda ids: b"".join(map(pieces_of.__getitem__, ids))
-
-
 def _fill(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Puts the rare words' ids where their document has -1."""
     for batch in (b.slice(a, rows) for b in batches for a in range(0, b.num_rows, rows)):
@@ -475,23 +487,42 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 @cache
-def _decoder(ranks_path: str):
-    """A decoder, and each id in decimal digits."""
-    return decoder(ranks_path), [str(i).encode() for i in range(max(load_ranks(ranks_path).values(), default=-1) + 1)].__getitem__
+def _parts(ranks_path: str) -> tuple[pa.Array, pa.Array]:
+    """For each id its decimal digits with a comma, and the bytes that it stands for."""
+    ranks = load_ranks(ranks_path)
+    pieces_of = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces_of[rank] = piece
+    return pa.array([b"%d," % i for i in range(len(pieces_of))], pa.large_binary()), pa.array(pieces_of, pa.large_binary())
+
+
+def gathered(parts: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+    """For each range of ids between two ends, their parts put together."""
+    if not len(ids):
+        return [memoryview(b"")] * (len(ends) - 1)
+    _, offsets, data = parts.take(pa.array(ids)).buffers()
+    at, data = np.frombuffer(offsets, np.int64)[ends].tolist(), memoryview(data)
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+#: Ids of some documents that are put together at once, or those of one.
+GATHERED = 1 << 20
 
 
 def digests(ranks_path: str):
     """Finishes documents as the number of their ids and the digests of the ids and of the bytes they decode to."""
 
     def function(batch: pa.RecordBatch) -> pa.RecordBatch:
-        decode, digits = _decoder(ranks_path)
-        n, ids_sha, decoded = [], [], []
-        for own in batch.column(1):
-            ids = own.values.to_numpy().tolist()
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(b",".join(map(digits, ids))).hexdigest())
-            decoded.append(hashlib.sha256(decode(ids)).hexdigest())
-        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded, pa.string())]
+        digits, pieces_of = _parts(ranks_path)
+        flat, ends = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+        ids_sha, decoded, a = [], [], 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + GATHERED, "right")) - 1)
+            own, within = flat[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+            ids_sha += [hashlib.sha256(x[:-1]).hexdigest() for x in gathered(digits, own, within)]
+            decoded += [hashlib.sha256(x).hexdigest() for x in gathered(pieces_of, own, within)]
+            a = b
+        columns = [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded, pa.string())]
         return pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return "n_tokens bigint, ids_sha256 string, decoded_sha256 string", function
